@@ -6,23 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, pii
+from quire.llm import decontaminate, language, mixing, pii, quality, simhash, topk, toxicity
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
-    """``operator`` over one whole table."""
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+def _over(operator: Callable[..., DataFrame], *names: str) -> Query:
+    """``operator`` over whole tables."""
+    return lambda spark, sf_dir: operator(*[table(spark, sf_dir, n) for n in names])
 
 
 def queries() -> dict[str, Query]:
     return {
-        "op8_personal_data": _over("documents", pii.op8_personal_data),
-        "op10_mix_sources": _over("documents", mixing.op10_mix_sources),
+        "op1_quality": _over(quality.op1_quality, "documents", "labels"),
+        "op2_language": _over(language.op2_language, "documents"),
+        "op4_decontaminate": _over(decontaminate.op4_decontaminate, "documents", "benchmark"),
+        "op5_toxicity": _over(toxicity.op5_toxicity, "documents", "labels"),
+        "op6_simhash_near_dedup": _over(simhash.op6_simhash_near_dedup, "documents"),
+        "op8_personal_data": _over(pii.op8_personal_data, "documents"),
+        "op9_top_k": _over(topk.op9_top_k, "embeddings"),
+        "op10_mix_sources": _over(mixing.op10_mix_sources, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_personal_data": pii.ORACLE_SQL, "op10_mix_sources": mixing.ORACLE_SQL}
+    return {
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+        "op8_personal_data": pii.ORACLE_SQL,
+        "op9_top_k": topk.ORACLE_SQL,
+        "op10_mix_sources": mixing.ORACLE_SQL,
+    }
