@@ -1,4 +1,4 @@
-"""Python functions on executors: the package goes with them."""
+"""Python functions on executors, with the package sent along, and checkpoints."""
 
 from __future__ import annotations
 
@@ -27,3 +27,12 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with a function of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there, without its lineage."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return df.checkpoint(eager=True)
