@@ -11,7 +11,7 @@ licence file, by name, with a licence. Directories, not files, are joined to the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed
@@ -68,15 +68,18 @@ def _best(notices: DataFrame, threshold: float) -> DataFrame:
     spark = notices.sparkSession
     total = notices.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     terms = notices.select("notice", "n", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("notice", "n", "term").agg(F.count("*").alias("tf"))
+    terms = checkpointed(terms)
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(float(total)) + 1) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1
+
+    def norm(by: str, weight: str) -> Column:
+        return F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(by)))
+
     own = terms.join(df, "term").select("notice", "term", (F.col("tf") * idf).alias("w"))
-    norms = own.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     templates = _templates(spark).join(df, "term", "left").select("t", "license", "term", (F.col("tf") * idf).alias("tw"))
-    template_norms = templates.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    dots = own.join(templates, "term").groupBy("notice", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    score = F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6)
-    near = dots.join(norms, "notice").join(template_norms, "t").withColumn("score", score).where(F.col("score") >= threshold)
+    own, templates = own.withColumn("norm", norm("notice", "w")), templates.withColumn("tnorm", norm("t", "tw"))
+    dots = own.join(templates, "term").groupBy("notice", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.max("norm").alias("norm"), F.max("tnorm").alias("tnorm"))
+    near = dots.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6)).where(F.col("score") >= threshold)
     first = F.struct((-F.col("score")).alias("s"), "t")
     return near.groupBy("notice").agg(F.min_by("license", first).alias("license"), F.max("score").alias("score"))
 
@@ -102,7 +105,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     paths = rows.select("path", directory)
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
-    up = paths.select("dir").distinct().select("dir", F.explode(ancestors).alias("a")).select(F.col("dir").alias("of"), "a.depth", "a.up").distinct()
+    up = paths.select("dir").distinct().select("dir", F.explode(ancestors).alias("a")).select(F.col("dir").alias("of"), "a.depth", "a.up")
     nearest = up.join(holders, up["up"] == holders["dir"]).groupBy("of").agg(*[F.max_by(c, "depth").alias(f"i_{c}") for c in ("up", "license", "score")])
     nearest = checkpointed(nearest)
 
