@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import checkpointed
+
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -76,8 +78,6 @@ def copies(
     rows like any others (equal rows may swap their places, the rows of the result don't
     change). An empty table gives an empty result. Other columns are ignored.
     """
-    from quire.llm.common import checkpointed
-
     size = word_count(F.col("text"))
     bits = F.length(F.bin("size"))
     sizes = documents.select("doc_id", "source", size.alias("size"))
@@ -95,18 +95,16 @@ def copies(
     classes = classes.select(
         "key", "cls", F.coalesce(F.sum("n").over(by_class), F.lit(0)).alias("class_base"), F.ceil(F.col("n") / bucket_rows).alias("n_ranges")
     )
-    ranged = rows.join(classes.select("key", "cls", "n_ranges"), ["key", "cls"]).withColumn("rng", F.floor(F.col("h") * F.col("n_ranges") / F.lit(2.0**32)).cast("long"))
+    per = targets(sizes, weights, budget, most, seed).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
+    # One join brings all that a row needs of its class and source; a class with many rows is split there as a
+    # skewed join, since its rows are dealt out anew, by ranges, behind it.
+    ranged = rows.join(classes.join(per, "key"), ["key", "cls"]).withColumn("rng", F.floor(F.col("h") * F.col("n_ranges") / F.lit(2.0**32)).cast("long"))
+    ranged = ranged.repartition("key", "cls", "rng")
     ranges = ranged.groupBy("key", "cls", "rng").agg(F.count("*").alias("n"))
     by_range = Window.partitionBy("key", "cls").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("key", "cls", "rng", F.coalesce(F.sum("n").over(by_range), F.lit(0)).alias("range_base"))
     within = Window.partitionBy("key", "cls", "rng").orderBy("h", "doc_id")
-    per = targets(sizes, weights, budget, most, seed).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    numbered = (
-        ranged.join(ranges, ["key", "cls", "rng"])
-        .withColumn("within", F.row_number().over(within))
-        .join(classes.select("key", "cls", "class_base"), ["key", "cls"])
-        .join(per, "key")
-    )
+    numbered = ranged.join(ranges, ["key", "cls", "rng"]).withColumn("within", F.row_number().over(within))
     rank = F.col("class_base") + F.col("range_base") + F.col("within")
     step = F.floor(F.col("rate") * rank + F.col("offset")) - F.floor(F.col("rate") * (rank - 1) + F.col("offset"))
     return numbered.withColumn("n_copies", step.cast("int")).select(
