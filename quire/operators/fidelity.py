@@ -58,7 +58,7 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
 
 def segment(df: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per chunk: ``keep``, chunk_no, start_index, end_index, text, is_partial."""
-    return df.select(*keep, F.explode(chunks(F.col(text), size, overlap)).alias("c")).select(*keep, "c.*")
+    return df.select(*keep, F.inline(chunks(F.col(text), size, overlap)))
 
 
 def exact_positions(source: Column, target: Column) -> Column:
@@ -174,8 +174,9 @@ def exact_scores(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) ->
 
 def missing(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, significant: int = SIGNIFICANT) -> DataFrame:
     """One row per failed chunk: doc_id, chunk_no, start_index, text, snippet."""
-    rows = match_table(pairs, size, overlap).select("doc_id", F.explode("found").alias("f")).where("f.kind = 'missing'")
-    rows = rows.select("doc_id", "f.chunk.chunk_no", "f.chunk.start_index", "f.chunk.text").where(F.length(strip(F.col("text"))) >= significant)
+    # inline, not explode: fields of an exploded struct would be computed one by one, the matches each time.
+    rows = match_table(pairs, size, overlap).select("doc_id", F.inline("found")).where("kind = 'missing'")
+    rows = rows.select("doc_id", "chunk.chunk_no", "chunk.start_index", "chunk.text").where(F.length(strip(F.col("text"))) >= significant)
     return rows.withColumn("snippet", snippet(F.col("text")))
 
 
@@ -197,7 +198,7 @@ def reconcile(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, thres
         near = (n > 0) & (found >= threshold * n)
         return F.struct(f["chunk"]["chunk_no"].alias("chunk_no"), coverage.alias("coverage"), F.when(near, "approximate").otherwise("unresolved").alias("resolution"))
 
-    return both.select("doc_id", F.explode(F.transform("failed", check)).alias("r")).select("doc_id", "r.*")
+    return both.select("doc_id", F.inline(F.transform("failed", check)))
 
 
 def report(pairs: DataFrame, examples: int = 3) -> DataFrame:

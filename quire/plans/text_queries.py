@@ -82,8 +82,7 @@ def fidelity_score(spark, sf_dir):
 
 
 def fuzzy_find(spark, sf_dir):
-    rows = fidelity.match_table(_pairs(spark, sf_dir)).select("doc_id", F.explode("found").alias("f"))
-    return rows.select("doc_id", "f.chunk.chunk_no", "f.pos", "f.kind")
+    return fidelity.match_table(_pairs(spark, sf_dir)).select("doc_id", F.inline("found")).select("doc_id", "chunk.chunk_no", "pos", "kind")
 
 
 def completeness_score(spark, sf_dir):
