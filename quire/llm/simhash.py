@@ -190,6 +190,7 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, blocks: int
     best = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = members.join(best, "root").select(F.col("fp").alias("_fp"), "component_id")
     nodes = nodes.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    nodes = checkpointed(nodes)  # so that the join of a fingerprint with very many copies is split
     return rows.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
