@@ -28,7 +28,7 @@ def made(spark, rows):
 
 @pytest.mark.parametrize(
     ("text", "y0", "y1", "size", "expected"),
-    [("27 SOME EVERYDAY EXAMPLES", 0, 40, 11, True), ("27 SOME EVERYDAY EXAMPLES", 200, 240, 11, False), ("94", 760, 790, 11, True), ("Excerpt C: The Ways We Are in This Together", 0, 40, 16, False), ("plain words here", 0, 40, 11, False)],
+    [("27 SOME EVERYDAY EXAMPLES", 0, 40, 11, True), ("27 SOME EVERYDAY EXAMPLES", 200, 240, 11, False), ("94", 760, 790, 11, True), ("Part C: A Longer Title For All of This Together", 0, 40, 16, False), ("plain words here", 0, 40, 11, False)],
 )
 def test_header_footer(spark, text, y0, y1, size, expected):
     df = spark.createDataFrame([(text, float(y0), float(y1), float(size))], "t string, a double, b double, s double")

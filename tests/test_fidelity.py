@@ -58,7 +58,7 @@ def test_lis_against_patience_sorting(spark):
     ("source", "target", "size", "significant", "completeness", "valid"),
     [
         ("same text here", "same text here", 10, 20, 100.0, True),
-        ("CONTENT GARBAGE", "CONTENT", 7, 10, 100 / 3, True),
+        ("CONTENT GARBAGE", "CONTENT", 7, 10, 200 / 3, True),
         ("Part1 Part2", "Part2 Part1", 5, 20, 100.0, True),
         ("", "anything", 5, 1, 100.0, True),
         ("text", "", 5, 1, 0.0, False),
