@@ -410,7 +410,10 @@ def _rows(table: Node) -> tuple[list[Node], list[Node], list]:
                     other.append(row)
         elif part.tag not in ("col", "colgroup"):
             other.append(part)
-    return captions, head + body + foot, other
+    rows = head + body + foot
+    for row in rows:  # what isn't in a cell stands before the table, as a browser shows it
+        other += [k for k in row.kids if (k.tag not in ("td", "th") and not hidden(k) if isinstance(k, Node) else k.strip())]
+    return captions, rows, other
 
 
 def _table(table: Node, depth: int) -> list[str]:
