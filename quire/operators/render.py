@@ -38,7 +38,7 @@ def render_chapters(blocks: DataFrame, images: DataFrame | None = None, patterns
     # Each of these is read several times below, and none holds more than the blocks do.
     blocks = checkpointed(blocks)
     split = checkpointed(structure.split_notes(blocks))
-    table = checkpointed(structure.chapters(blocks))
+    table = checkpointed(structure.chapters(blocks, split))
     main = structure.assign_chapters(structure.merge_headers(split.where("part = 'main'").select(*blocks.columns)))
     main = checkpointed(main.join(table.select("doc_id", "chapter_id", "root_no"), ["doc_id", "chapter_id"]))
     file = F.concat(F.lit("chapter"), F.col("root_no"), F.lit(".xhtml"))

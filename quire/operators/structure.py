@@ -8,6 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from quire.functions.text import strip
 from quire.operators.classify import is_heading
+from quire.runtime import checkpointed
 
 INTRO, NOTES = "Intro", "Endnotes"
 TAIL_PAGES, GAP_PAGES, LEAST_STARTS, LEAST_PAGES = 3, 6, 5, 2
@@ -159,23 +160,25 @@ def assign_chapters(blocks: DataFrame) -> DataFrame:
     return rows.drop("_h", "_parent", *[f"_last{k}" for k in range(1, LEVELS + 1)])
 
 
-def chapters(blocks: DataFrame) -> DataFrame:
+def chapters(blocks: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """doc_id, chapter_id, parent_id, root_no, level, title, is_endnotes, n_blocks, first_seq.
 
-    ``blocks`` are classified. An introduction without blocks appears only if chapters hang on it.
+    ``blocks`` are classified; ``split`` is their ``split_notes``, if it is there already. An introduction without blocks appears only if chapters hang on it.
     Notes make a last chapter of level 1 with chapter_id one above the others.
     """
-    split = split_notes(blocks)
+    split = checkpointed(split_notes(blocks)) if split is None else split
     main = assign_chapters(merge_headers(split.where("part = 'main'").select(*blocks.columns)))
     per = main.groupBy("doc_id", "chapter_id").agg(
         F.first("parent_id").alias("parent_id"), F.first("level").alias("level"), F.first("title").alias("title"), F.count("*").alias("n_blocks"), F.min("seq").alias("first_seq")
     )
+    per = checkpointed(per)
     orphans = per.where("parent_id = 0").select("doc_id").distinct().join(per.where("chapter_id = 0").select("doc_id"), "doc_id", "left_anti")
     intro = orphans.select("doc_id", F.lit(0).alias("chapter_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("level"), F.lit(INTRO).alias("title"), F.lit(0).cast("long").alias("n_blocks"), F.lit(-1).alias("first_seq"))
     per = per.union(intro).withColumn("is_endnotes", F.lit(False))
     notes = _notes(split).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.min("seq").alias("first_seq"))
     last = per.groupBy("doc_id").agg(F.max("chapter_id").alias("last"))
-    notes = notes.join(last, "doc_id", "left").join(notes_title(blocks), "doc_id", "left")
+    titles = split.where("part = 'title'").select("doc_id", F.col("notes_title").alias("title"))
+    notes = notes.join(last, "doc_id", "left").join(titles, "doc_id", "left")
     notes = notes.select(
         "doc_id",
         (F.coalesce("last", F.lit(0)) + 1).alias("chapter_id"),

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quire.functions import text as fn
 from quire.operators import fidelity, links
 from quire.plans import validate
+from quire.runtime import spread
 from quire.sources import epub
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
