@@ -136,7 +136,7 @@ def heading_score(spark, sf_dir):
 
 
 def block_roles(spark, sf_dir):
-    return roles.classify(_noted(spark, sf_dir)).select("doc_id", "seq", "role", "endnote_num")
+    return roles.classify(_noted(spark, sf_dir)).select("doc_id", "seq", "role", F.coalesce("endnote_num", F.lit(0)).alias("endnote_num"))
 
 
 def merge_headers(spark, sf_dir):
@@ -148,7 +148,8 @@ def paragraphs(spark, sf_dir):
 
 
 def chapter_tree(spark, sf_dir):
-    return structure.chapters(checkpointed(roles.classify(_noted(spark, sf_dir))))
+    tree = structure.chapters(checkpointed(roles.classify(_noted(spark, sf_dir))))
+    return tree.withColumn("parent_id", F.coalesce("parent_id", F.lit(-1)))  # -1 for those at the top
 
 
 def chapter_text(spark, sf_dir):
@@ -371,7 +372,7 @@ ORACLES = {
       SELECT doc_id, page_count, len(sampled)::INT AS n_sampled, has_text, med >= 2 AS multi_column, CASE WHEN med >= 2 THEN least(med, 3) ELSE 1 END::INT AS n_columns, body_size, unique_sizes,
         CASE WHEN med >= 2 THEN 'xy_cut' ELSE 'y_sort' END AS strategy FROM s JOIN q USING (doc_id) JOIN z USING (doc_id)""",
     "heading_score": f"WITH {_score_sql(_STYLE)} SELECT doc_id, seq, score, signals FROM sc",
-    "block_roles": f"WITH {_roles_sql(_NOTED_SQL + ', ')} SELECT doc_id, seq, role, endnote_num FROM cl",
+    "block_roles": f"WITH {_roles_sql(_NOTED_SQL + ', ')} SELECT doc_id, seq, role, coalesce(endnote_num, 0) AS endnote_num FROM cl",
     "merge_headers": f"WITH {_roles_sql()}, {_HEADERS.format('cl')} SELECT doc_id, seq, role, text FROM mh",
     "paragraphs": f"""WITH {_B}, n AS (SELECT *, trim(text) AS t FROM blocks WHERE trim(text) <> ''),
       l AS (SELECT *, lag(t) OVER w AS pt, greatest(0, y0 - lag(y1) OVER w) AS gap, x0 - lag(x0) OVER w AS ind, greatest(font_size, lag(font_size) OVER w, 1) * 1.25e0 AS lh, greatest(font_size, lag(font_size) OVER w, 1) * 1.2e0 AS th
@@ -392,7 +393,7 @@ ORACLES = {
         WHERE endnote_num IS NOT NULL OR role = 'endnote' OR (regexp_matches(text, '^\\d{{1,3}}[.)]?\\s') AND x0 - lx <= greatest(24, 4 * font_size)) GROUP BY 1),
       ev AS (SELECT *, false AS is_endnotes FROM (SELECT * FROM ch UNION ALL SELECT * FROM it) UNION ALL
         SELECT doc_id, coalesce((SELECT max(chapter_id) FROM ch WHERE ch.doc_id = nt.doc_id), 0) + 1, NULL, 1, coalesce(title, 'Endnotes'), n_blocks, first_seq, true FROM nt)
-      SELECT doc_id, chapter_id, parent_id, level, title, n_blocks, first_seq, is_endnotes, sum(CASE WHEN parent_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chapter_id)::INT AS root_no FROM ev""",
+      SELECT doc_id, chapter_id, coalesce(parent_id, -1) AS parent_id, level, title, n_blocks, first_seq, is_endnotes, sum(CASE WHEN parent_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chapter_id)::INT AS root_no FROM ev""",
     "note_pages": f"""WITH {_B}, s AS (SELECT doc_id, page, count(*) AS n FROM blocks WHERE page >= 2 AND seq % 3 = 0 GROUP BY 1, 2),
       g AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page DESC) - page - 1 AS gap FROM s), f AS (SELECT *, sum(CASE WHEN gap > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page DESC) AS far FROM g),
       r AS (SELECT doc_id, min(page) AS first_page, max(page) AS ls FROM f WHERE far = 0 GROUP BY 1 HAVING sum(n) >= 5 AND count(*) >= 2)

@@ -45,6 +45,38 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], _NAMES)
 
 
+IMAGES = "path string, page int, image_no int, x0 double, y0 double, x1 double, y1 double, width int, height int, format string, data binary"
+
+
+def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import fitz
+
+    kinds = _KINDS | {"binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in IMAGES.split(", ")]
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            try:
+                with fitz.open(stream=data, filetype="pdf") as document:
+                    for page_no, page in enumerate(document, 1):
+                        placed = [b for b in page.get_text("dict")["blocks"] if b["type"] == 1]
+                        rows += [(path, page_no, k, *b["bbox"], b["width"], b["height"], b["ext"], b["image"]) for k, b in enumerate(placed, 1)]
+                        for k, listed in enumerate([] if placed else page.get_images(full=True), 1):
+                            found = document.extract_image(listed[0])
+                            rows.append((path, page_no, k, None, None, None, None, found["width"], found["height"], found["ext"], found["image"]))
+            except Exception:  # the file's error is among its spans
+                rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], [c.split()[0] for c in IMAGES.split(", ")])
+
+
+def read_pdf_images(spark: SparkSession, path: str) -> DataFrame:
+    """Images of PDF files by page; those of pages without image blocks have no box. Raises RuntimeError if no PDF library is installed."""
+    if not available():
+        raise RuntimeError("reading PDF files needs the optional library fitz")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return map_arrow(files, _images, IMAGES)
+
+
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     """Span rows of PDF files. Raises RuntimeError if no PDF library is installed."""
     if not available():

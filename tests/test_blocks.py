@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import images, links, noise, notes, order, render, structure, styles
 from quire.operators.classify import classify
-from quire.plans import convert
+from quire.plans import cli, convert
 from quire.sources import blocks as source
 from quire.sources import config, epub, pdf
 from quire.streaming import fidelity as stream
@@ -247,6 +247,19 @@ def test_pdf_needs_its_library(spark):
     if not pdf.available():
         with pytest.raises(RuntimeError):
             pdf.read_pdf(spark, "/nowhere")
+        with pytest.raises(RuntimeError):
+            pdf.read_pdf_images(spark, "/nowhere")
+
+
+def test_command_line(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "some words " * 100)], "doc_id long, text string")
+    texts.write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(1, "other things")], "doc_id long, text string").write.parquet(str(tmp_path / "b"))
+    source.derive(texts).write.parquet(str(tmp_path / "blocks"))
+    assert cli.main(["validate", str(tmp_path / "a"), str(tmp_path / "a"), "-o", str(tmp_path / "same")]) == 0
+    assert cli.main(["validate", str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "other")]) == 1
+    assert cli.main(["analyze", str(tmp_path / "blocks")]) == 0 and cli.main(["convert", str(tmp_path / "blocks"), "-o", str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
 
 
 def test_stream_gives_the_batch_result(spark, tmp_path):
