@@ -123,16 +123,20 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def documents_as_files(documents: DataFrame) -> DataFrame:
     """``documents`` laid out as a tree, since they have no paths: source, two levels by id, and a name.
 
-    Every fifth one is named as a licence file.
+    Every fifth one is named as a licence file. A null source is the folder ``none``, a null id
+    the file ``unnamed`` in the source's folder.
     """
-    d = F.coalesce(F.col("doc_id"), F.lit(-1))
+    d = F.col("doc_id")
     name = F.when(d % 5 == 0, F.concat(F.lit("LICENSE-"), d)).otherwise(F.concat(d.cast("string"), F.lit(".txt")))
-    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(d / 1000).cast("long"), F.lit("/"), F.pmod(F.floor(d / 50).cast("long"), F.lit(20)), F.lit("/"), name)
+    place = F.concat_ws("/", F.floor(d / 1000).cast("string"), F.pmod(F.floor(d / 50).cast("long"), F.lit(20)).cast("string"), name)
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.when(d.isNull(), F.lit("unnamed")).otherwise(place))
     return documents.select(path.alias("path"), "text")
 
 
 def op7_license_scan(documents: DataFrame) -> DataFrame:
-    return scan(documents_as_files(documents))
+    """The scan of ``documents`` as files, with doc_id."""
+    number = F.regexp_extract("path", r"([0-9]+)(?:[.]txt)?$", 1)
+    return scan(documents_as_files(documents)).select(F.nullif(number, F.lit("")).cast("long").alias("doc_id"), "path", "license", "score", "how", "from_dir")
 
 
 def _oracle() -> str:
@@ -141,8 +145,8 @@ def _oracle() -> str:
     idf = "(ln((total.n + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) + 1)"
     return f"""
 WITH f AS (
-  SELECT coalesce(source, 'none') || '/' || floor(coalesce(doc_id, -1) / 1000.0)::BIGINT || '/' || floor(coalesce(doc_id, -1) / 50.0)::BIGINT % 20 || '/'
-    || CASE WHEN coalesce(doc_id, -1) % 5 = 0 THEN 'LICENSE-' || coalesce(doc_id, -1) ELSE coalesce(doc_id, -1) || '.txt' END AS path, text FROM documents
+  SELECT doc_id, coalesce(source, 'none') || '/' || CASE WHEN doc_id IS NULL THEN 'unnamed' ELSE floor(doc_id / 1000.0)::BIGINT || '/' || floor(doc_id / 50.0)::BIGINT % 20 || '/'
+    || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END END AS path, text FROM documents
 ), l AS (
   SELECT path, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), '{CUE}')) AS lines FROM f
 ), p AS (
@@ -161,7 +165,7 @@ bs AS (SELECT notice, license, score FROM (SELECT *, row_number() OVER (PARTITIO
 ow AS (SELECT path, license, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, license, notice) AS k FROM p JOIN bs USING (notice)) WHERE k = 1),
 hd AS (SELECT dir, license, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS k FROM (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM ow WHERE regexp_matches(path, '{LICENSE_FILE}'))) WHERE k = 1),
 nr AS (SELECT path, arg_max(hd.dir, length(hd.dir)) AS up, arg_max(hd.license, length(hd.dir)) AS license, arg_max(hd.score, length(hd.dir)) AS score FROM f JOIN hd ON hd.dir = '' OR starts_with(path, hd.dir || '/') GROUP BY 1)
-SELECT f.path, coalesce(ow.license, nr.license) AS license, coalesce(ow.score, nr.score, 0) AS score,
+SELECT f.doc_id, f.path, coalesce(ow.license, nr.license) AS license, coalesce(ow.score, nr.score, 0) AS score,
   CASE WHEN ow.license IS NOT NULL THEN 'notice' WHEN nr.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN ow.license IS NULL THEN nr.up END AS from_dir
 FROM f LEFT JOIN ow USING (path) LEFT JOIN nr USING (path)
 """
