@@ -110,7 +110,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of ``values[start:end]``; they don't depend on the place."""
+    """64-bit polynomial hashes of ``values[start:end]``; they don't depend on the place.
+
+    Long arrays are hashed block by block, so that the sums take no more memory than a block's.
+    """
+    if len(values) <= PIECE_BYTES or not len(starts):
+        return _span_hashes(values, starts, ends)
+    order = None
+    if (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    out = np.empty(len(starts), dtype=_U64)
+    k = 0
+    while k < len(starts):
+        base = starts[k]
+        n = int(np.searchsorted(starts, base + PIECE_BYTES))
+        out[k:n] = _span_hashes(values[base : ends[k:n].max()], starts[k:n] - base, ends[k:n] - base)
+        k = n
+    if order is None:
+        return out
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(values) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(values) + 1, dtype=_U64)
@@ -118,6 +142,18 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U64))
 
 
+def blocks(member: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Cut a long array behind about ``size`` items each, at places that aren't ``member``, so that no run is cut."""
+    at = 0
+    while at < len(member):
+        end = min(len(member), at + size)
+        while end < len(member) and member[end]:
+            rest = np.flatnonzero(~member[end : end + size])
+            end = end + int(rest[0]) if len(rest) else min(len(member), end + size)
+        yield at, end
+        at = end
+
+
 def row_counts(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Numbers of runs in each text, and by their cumulated sums the first run of each."""
     return np.searchsorted(starts, offsets).astype(np.int64)

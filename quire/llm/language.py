@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LETTER, LOWER, pieces, remainder, row_counts, runs
+from quire.llm.common import LETTER, LOWER, blocks, pieces, remainder, row_counts, runs
 from quire.runtime import map_arrow
 
 BUCKETS = 1 << 14
@@ -82,15 +82,17 @@ class Model:
         """Proportions of the selected languages, texts x languages; zeros for texts without words."""
         n_texts, n_langs = len(offsets) - 1, len(self.languages)
         out = np.zeros((n_texts, n_langs))
-        buckets, first, first_word = _trigrams(raw, offsets)
-        words = np.diff(first_word)
+        words, parts = np.zeros(n_texts, dtype=np.int64), []
+        size = max(1 << 14, FIGURES // max(1, n_langs))
+        for a, b in blocks(LETTER[LOWER[raw]], size):  # more than one only of a very long text
+            buckets, first, first_word = _trigrams(raw[a:b], np.clip(offsets - a, 0, b - a))
+            words += np.diff(first_word)
+            if len(first) and n_langs:
+                log = np.add.reduceat(self.table[buckets], first, axis=0)
+                parts.append(np.exp(np.maximum(log - log.max(axis=1, keepdims=True), -CLIP)))
         full = np.flatnonzero(words)
-        if not len(full) or not n_langs:
-            return out
-        log = np.add.reduceat(self.table[buckets], first, axis=0)
-        top = log.max(axis=1, keepdims=True)
-        likely = np.exp(np.maximum(log - top, -CLIP))
-        out[full] = _selected(likely, words[full])
+        if parts:
+            out[full] = _selected(np.concatenate(parts), words[full])
         return out
 
 

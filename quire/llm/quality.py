@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LETTER, LOWER, NONSPACE, pieces, remainder, row_counts, runs, span_hashes
+from quire.llm.common import LETTER, LOWER, NONSPACE, PIECE_BYTES, pieces, remainder, row_counts, runs, span_hashes
 from quire.runtime import map_arrow
 
 PASSAGE = 64
@@ -68,14 +68,23 @@ def _encoded(raw: np.ndarray, offsets: np.ndarray, size: int = PASSAGE) -> tuple
     # Bytes from a passage's first word up to the next passage's belong to it; those before a text's first word to the passage before.
     opens = np.searchsorted(passage, np.arange(n))
     has = count > 0
-    cuts = np.where(has, starts[np.minimum(opens, len(starts) - 1)], len(raw))
     order = np.flatnonzero(has)
-    of_byte = order[np.maximum(np.searchsorted(cuts[order], np.arange(len(raw)), side="right") - 1, 0)]
-    n_bytes = np.maximum(np.bincount(of_byte, minlength=n), 1).astype(np.float32)[:, None]
-    x[:, :N_KINDS] = np.bincount(of_byte * N_KINDS + _KIND[raw], minlength=n * N_KINDS).reshape(n, N_KINDS) / n_bytes
+    cuts = starts[opens[order]]
     low = LOWER[raw]
-    pair = (low[:-1].astype(np.uint32) * 31 + low[1:].astype(np.uint32) * 1009) % 8191 % PAIRS
-    x[:, N_KINDS + N_FIGURES :] = np.bincount(of_byte[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / n_bytes
+    kinds, pairs, n_bytes = np.zeros((n, N_KINDS), np.float32), np.zeros((n, PAIRS), np.float32), np.zeros(n, np.float32)
+    for a in range(0, len(raw), PIECE_BYTES):  # more than once only for a very long text
+        some = slice(a, a + PIECE_BYTES)
+        of = order[np.maximum(np.searchsorted(cuts, np.arange(a, min(a + PIECE_BYTES, len(raw))), side="right") - 1, 0)]
+        opening = int(of[0])
+        of, m = of - opening, int(of[-1]) - opening + 1
+        rows = slice(opening, opening + m)
+        n_bytes[rows] += np.bincount(of, minlength=m)
+        kinds[rows] += np.bincount(of * N_KINDS + _KIND[raw[some]], minlength=m * N_KINDS).reshape(m, N_KINDS)
+        here, behind = low[some], low[a + 1 : a + 1 + PIECE_BYTES]
+        pair = (here[: len(behind)].astype(np.uint32) * 31 + behind.astype(np.uint32) * 1009) % 8191 % PAIRS
+        pairs[rows] += np.bincount(of[: len(behind)] * PAIRS + pair, minlength=m * PAIRS).reshape(m, PAIRS)
+    n_bytes = np.maximum(n_bytes, 1)[:, None]
+    x[:, :N_KINDS], x[:, N_KINDS + N_FIGURES :] = kinds / n_bytes, pairs / n_bytes
     hashes = span_hashes(low, starts, ends)
     length = (ends - starts).astype(np.float32)
     inner = LETTER[low[ends - 1]]

@@ -41,13 +41,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         return 0
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[-n:].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
+    starts, ends = np.concatenate(([0], ends[:-1] + 1))[:n], ends[-n:]
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 15):
-        part = hashes[at : at + (1 << 15)]
+        some = slice(at, at + (1 << 15))
+        part = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 

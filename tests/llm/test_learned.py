@@ -171,3 +171,32 @@ def test_attention_gradients():
             down = loss()
             value[at] = old
             assert grads[name][at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_long_texts_in_blocks_give_the_same(monkeypatch):
+    """What is done block by block for a very long text, against all at once."""
+    import pyarrow as pa
+
+    from quire.llm import common
+
+    rng = random.Random(9)
+    texts = ["", *[" ".join("".join(rng.choice("abcÄß .!") for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (300, 0, 1, 80)], "x" * 500 + " y"]
+    (_, _, raw, offsets), = common.pieces(pa.array(texts))
+    model = language.Model(["a", "b", "c"], np.log(np.random.default_rng(1).random((language.BUCKETS, 3))).astype(np.float32))
+    starts, ends = common.runs(common.WORD[common.LOWER[raw]], offsets)
+    shuffled = np.random.default_rng(2).permutation(len(starts))
+
+    def results():
+        x, head = quality._encoded(raw, offsets)
+        hashes = common.span_hashes(raw, starts, ends)
+        assert (common.span_hashes(raw, starts[shuffled], ends[shuffled]) == hashes[shuffled]).all()
+        return x, head, hashes, model.mixtures(raw, offsets)
+
+    whole = results()
+    monkeypatch.setattr(common, "PIECE_BYTES", 64)
+    monkeypatch.setattr(quality, "PIECE_BYTES", 64)
+    monkeypatch.setattr(language, "FIGURES", 1)
+    monkeypatch.setattr(language, "blocks", lambda member, size: common.blocks(member, 50))
+    for a, b in zip(whole, results(), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+    assert [b - a >= 50 or b == len(raw) for a, b in common.blocks(common.LETTER[common.LOWER[raw]], 50)]
