@@ -46,8 +46,8 @@ _NOTED_SQL = """documents AS (
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three images on the pages of every document that has a digit in its id's last place below 5."""
-    rows = _docs(spark, sf_dir).where("doc_id % 10 < 5").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("image_no"))
+    """Three images on the pages of every document."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("image_no"))
     return rows.select(
         "doc_id", "image_no", (F.col("image_no") % 2 + 1).cast("int").alias("page"), (F.col("image_no") * 100.0).alias("y0"), F.lit(60.0).alias("x0"),
         F.element_at(F.array(F.lit("png"), F.lit("JPEG"), F.lit("bmp")), F.col("image_no")).alias("format"),
@@ -201,10 +201,10 @@ def note_numbers(spark, sf_dir):
 
 
 def _rendered(spark, sf_dir):
-    """A chapter of references to notes 1 to 9 and a chapter of notes, of which some don't meet."""
-    lines = _blocks(spark, sf_dir).where("seq < 12")
+    """A chapter of references to notes 1 to 9 and a chapter of notes 1 to 12, a line's each; some don't meet."""
+    lines = _blocks(spark, sf_dir)
     link = F.concat(F.lit('<a href="chapter2.xhtml#note'), F.col("seq") % 9 + 1, F.lit('">x</a>'))
-    note = F.concat(F.lit('<p class="endnote" id="note'), F.col("seq") + 1, F.lit('">n</p>'))
+    note = F.concat(F.lit('<p class="endnote" id="note'), F.col("seq") % 12 + 1, F.lit('">n</p>'))
 
     def chapter(no: int, html):
         return lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(html)), "").alias("html")).select("doc_id", F.lit(no).alias("chapter_no"), "html")
@@ -327,7 +327,7 @@ _HEADERS = """mh AS (
   SELECT doc_id, min(seq) AS seq, arg_min(role, seq) AS role, arg_min(page, seq) AS page, string_agg(text, ' ' ORDER BY seq) AS text FROM (
     SELECT *, sum(CASE WHEN regexp_matches(role, '^h[0-9]+$') AND prev = role THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS run
     FROM (SELECT *, lag(role) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM {0})) GROUP BY doc_id, run)"""
-_IMAGES = """img AS (SELECT doc_id, k AS image_no, k % 2 + 1 AS page, k * 100.0e0 AS y0, 60.0e0 AS x0, ['png', 'JPEG', 'bmp'][k] AS format FROM (SELECT doc_id, unnest([1, 2, 3]) AS k FROM documents WHERE doc_id % 10 < 5)),
+_IMAGES = """img AS (SELECT doc_id, k AS image_no, k % 2 + 1 AS page, k * 100.0e0 AS y0, 60.0e0 AS x0, ['png', 'JPEG', 'bmp'][k] AS format FROM (SELECT doc_id, unnest([1, 2, 3]) AS k FROM documents)),
 seqd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, image_no) AS image_seq FROM img)"""
 _CHAPTERED = f"""{_roles_sql()}, ch AS (SELECT *, sum(CASE WHEN regexp_matches(role, '^h[0-9]+$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq)::INT AS chapter_id FROM cl)"""
 _NEAR = f"""{_CHAPTERED}, {_IMAGES},
@@ -400,7 +400,7 @@ ORACLES = {
       SELECT doc_id, first_page, CASE WHEN mp - ls <= 3 THEN mp ELSE ls END AS last_page FROM r JOIN (SELECT doc_id, max(page) AS mp FROM blocks GROUP BY 1) USING (doc_id)""",
     "note_refs": f"""WITH {derive_sql(_REF_SQL)}
       SELECT doc_id, seq, num::INT AS num, (length(text) - length(num) - 2)::INT AS start, length(text)::INT AS "end" FROM (SELECT *, regexp_extract(text, '\\[(\\d{{1,2}})\\]$', 1) AS num FROM blocks)""",
-    "note_links": f"""WITH {_B}, l AS (SELECT doc_id, seq % 9 + 1 AS num FROM blocks WHERE seq < 12), n AS (SELECT doc_id, seq + 1 AS num FROM blocks WHERE seq < 12),
+    "note_links": f"""WITH {_B}, l AS (SELECT doc_id, seq % 9 + 1 AS num FROM blocks), n AS (SELECT DISTINCT doc_id, seq % 12 + 1 AS num FROM blocks),
       k AS (SELECT n.doc_id, n.num, count(l.num) AS c FROM n LEFT JOIN l ON l.doc_id = n.doc_id AND l.num = n.num GROUP BY 1, 2)
       SELECT doc_id, count(*) AS n_notes, sum(c)::BIGINT AS n_links, count(*) FILTER (c > 0) AS n_linked, count(*) FILTER (c = 0) AS n_missing FROM k GROUP BY 1""",
     "image_names": f"""WITH {_IMAGES} SELECT doc_id, image_no, 'img-page-' || page || '-' || image_no AS id, printf('image%03d.%s', row_number() OVER (PARTITION BY doc_id ORDER BY page, image_no), lower(format)) AS filename
