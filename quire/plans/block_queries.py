@@ -75,7 +75,15 @@ def structural_blocks(spark, sf_dir):
 
 
 def page_text(spark, sf_dir):
-    return source.page_text(_spans(spark, sf_dir))
+    return convert.scan_pages(_spans(spark, sf_dir))
+
+
+def scan_blocks(spark, sf_dir):
+    return convert.scan_blocks(_spans(spark, sf_dir))
+
+
+def scanned_text(spark, sf_dir):
+    return convert.full_text(_spans(spark, sf_dir))
 
 
 def noise_lines(spark, sf_dir):
@@ -281,7 +289,7 @@ def conversion_report(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        derived_blocks, structural_blocks, page_text, noise_lines, noise_strip, header_footer, page_filters, y_sort, xy_cut, side_blocks, style_histogram, body_style, style_roles,
+        derived_blocks, structural_blocks, page_text, scan_blocks, scanned_text, noise_lines, noise_strip, header_footer, page_filters, y_sort, xy_cut, side_blocks, style_histogram, body_style, style_roles,
         layout_profile, heading_score, block_roles, merge_headers, paragraphs, chapter_tree, chapter_text, heading_counts, note_pages, note_merge, note_refs, note_tags, note_style,
         note_hyperlinks, note_html, note_numbers, note_links, image_names, image_sizes, image_sequence, nearest_block, page_images, render_order, figure_links, text_html,
         rendered_chapters, book_round_trip, conversion_report,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import canonicalize
+from quire.functions.text import canonicalize, strip
 from quire.operators import noise, render, structure
 from quire.operators.classify import classify
 from quire.operators.order import number_images, order_blocks
-from quire.sources.blocks import SCHEMA
+from quire.sources import blocks as source
 from quire.sources.config import Config
 from quire.sources.epub import books
 
@@ -19,14 +19,38 @@ from quire.sources.epub import books
 STRATEGIES: dict[str, Callable[[DataFrame, Config], DataFrame]] = {}
 
 
-def clean_blocks(blocks: DataFrame, page_height: float, patterns: DataFrame | None = None) -> DataFrame:
-    """Blocks without headers, footers and repeated lines, their texts in canonical form; blank ones go."""
-    rows = blocks.join(noise.body_size(blocks), "doc_id", "left")
-    edge = noise.is_header_footer(F.col("text"), F.col("y0"), F.col("y1"), F.lit(page_height), F.col("font_size"), F.col("body_size"))
-    rows = rows.where(~edge).drop("body_size")
-    if patterns is not None:
-        rows = noise.strip_repeated(rows, patterns)
-    return canonicalize(rows, "text").where("trim(text) <> ''").select(*[c.split()[0] for c in SCHEMA.split(", ")])
+def _page_noise(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines, repeated lines and body sizes of spans."""
+    lines = source.lines_from_spans(spans)
+    order = Window.partitionBy("doc_id").orderBy("page", "block_no", "line_no", "span_no")
+    sized = spans.where("block_type = 0").withColumn("seq", F.row_number().over(order))
+    return lines, noise.repeated_lines(lines), noise.body_size(sized)
+
+
+def scan_blocks(spans: DataFrame) -> DataFrame:
+    """Blocks of spans without headers, footers and repeated lines, their texts in canonical form; blank ones go."""
+    _, patterns, body = _page_noise(spans)
+    heights = spans.groupBy("doc_id", "page").agg(F.first("page_height").alias("page_height"))
+    rows = source.blocks_from_spans(spans).join(heights, ["doc_id", "page"]).join(body, "doc_id", "left")
+    edge = noise.is_header_footer(F.col("text"), F.col("y0"), F.col("y1"), F.col("page_height"), F.col("font_size"), F.col("body_size"))
+    rows = canonicalize(noise.strip_repeated(rows.where(~edge), patterns), "text").withColumn("text", strip(F.col("text"))).where("text <> ''")
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
+    return rows.withColumn("seq", seq.cast("int")).select(*[c.split()[0] for c in source.SCHEMA.split(", ")])
+
+
+def scan_pages(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, text): the same by lines, for validation."""
+    lines, patterns, body = _page_noise(spans)
+    rows = lines.join(body, "doc_id", "left")
+    edge = noise.is_header_footer(F.col("text"), F.col("y0"), F.col("y1"), F.col("page_height"), F.col("size"), F.col("body_size"))
+    rows = noise.strip_repeated(rows.where(~edge), patterns).withColumn("text", strip(F.col("text"))).where("text <> ''")
+    return canonicalize(source.page_text(rows), "text")
+
+
+def full_text(spans: DataFrame) -> DataFrame:
+    """(doc_id, text): page texts joined by empty lines."""
+    pages = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])
+    return scan_pages(spans).groupBy("doc_id").agg(F.array_join(pages, "\n\n").alias("text"))
 
 
 def prepared(blocks: DataFrame, config: Config) -> DataFrame:

@@ -42,13 +42,21 @@ def blocks_from_spans(spans: DataFrame) -> DataFrame:
     return out.select("doc_id", seq, "page", "x0", "y0", "x1", "y1", "style.font_name", "style.font_size", "flags", "text")
 
 
-def page_text(spans: DataFrame) -> DataFrame:
-    """Text by page: lines stripped, blank ones dropped, joined by blanks; blocks by empty lines."""
-    parts = F.sort_array(F.collect_list(F.struct("span_no", "text")))
-    lines = spans.where("block_type = 0").groupBy("doc_id", "page", "block_no", "line_no").agg(strip(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("line")).where("line <> ''")
-    lines = lines.groupBy("doc_id", "page", "block_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda p: p["line"]), " ").alias("block"))
-    blocks = F.transform(F.sort_array(F.collect_list(F.struct("block_no", "block"))), lambda p: p["block"])
-    return lines.groupBy("doc_id", "page").agg(F.array_join(blocks, "\n\n").alias("text"))
+def lines_from_spans(spans: DataFrame) -> DataFrame:
+    """One row per non-blank text line: doc_id, seq, page, page_height, block_no, line_no, y0, y1, size (the largest span's), text."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("span_no", "text"))), lambda p: p["text"])
+    lines = spans.where("block_type = 0").groupBy("doc_id", "page", "block_no", "line_no")
+    lines = lines.agg(F.first("page_height").alias("page_height"), F.first("line_y0").alias("y0"), F.first("line_y1").alias("y1"), F.max("font_size").alias("size"), strip(F.array_join(parts, "")).alias("text"))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block_no", "line_no")) - 1
+    return lines.where("text <> ''").withColumn("seq", seq.cast("int"))
+
+
+def page_text(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of lines: those of a block joined by blanks, blocks by empty lines."""
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda p: p["text"])
+    blocks = lines.groupBy("doc_id", "page", "block_no").agg(F.array_join(joined, " ").alias("block"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block_no", "block"))), lambda p: p["block"])
+    return blocks.groupBy("doc_id", "page").agg(F.array_join(ordered, "\n\n").alias("text"))
 
 
 def derive(documents: DataFrame, mark: Column | None = None) -> DataFrame:

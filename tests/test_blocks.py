@@ -240,7 +240,28 @@ def test_blocks_from_spans(spark):
     rows = [(*head, 0, 0, 0.0, 0.0, 9.0, 9.0, 0.0, 9.0, "A", 12.0, 0, "Long text"), (*head, 0, 1, 0.0, 0.0, 9.0, 9.0, 0.0, 9.0, "B", 14.0, 16, "x"), (*head, 1, 0, 0.0, 0.0, 9.0, 9.0, 0.0, 9.0, "B", 14.0, 16, "  "), (1, 1, 800.0, 1, 1, 0, 0, 0.0, 0.0, 9.0, 9.0, 0.0, 9.0, "I", 1.0, 0, "image")]
     got = source.blocks_from_spans(spark.createDataFrame(rows, source.SPANS)).collect()
     assert [(r.text, r.font_name, r.font_size, r.flags) for r in got] == [("Long text x ", "A", 12.0, 0)]
-    assert source.page_text(spark.createDataFrame(rows, source.SPANS)).collect()[0].text == "Long textx"
+    assert source.page_text(source.lines_from_spans(spark.createDataFrame(rows, source.SPANS))).collect()[0].text == "Long textx"
+
+
+WORDS = ["", "Alpha", "Beta", "Gamma", "Delta", "Epsilon"]
+
+
+def test_scan_leaves_page_noise_out(spark):
+    rows = []
+
+    def line(block, text, y):
+        rows.append((1, p, 800.0, block, 0, 0, 0, 50.0, y, 400.0, y + 12, y, y + 12, "A", 11.0, 0, text))
+
+    for p in range(1, 6):
+        line(0, f"RUNNING TITLE {p}", 20.0)
+        line(1, f"{WORDS[p]} begins ﬁnely, with The Journal of Foxes vol {p} and goes on", 200.0)
+        line(2, f"The Journal of Foxes vol {p}", 300.0)
+        line(3, str(p), 780.0)
+    spans = spark.createDataFrame(rows, source.SPANS)
+    want = [f"{WORDS[p]} begins finely, with  and goes on" for p in range(1, 6)]
+    assert [r.text for r in convert.scan_blocks(spans).orderBy("seq").collect()] == want
+    assert [r.text for r in convert.scan_pages(spans).orderBy("page").collect()] == want
+    assert convert.full_text(spans).collect()[0].text == "\n\n".join(want)
 
 
 def test_pdf_needs_its_library(spark):
