@@ -48,6 +48,8 @@ def remainder(column: str, modulus: int) -> Column:
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into (first row, end row, bytes, offsets), each of about ``limit`` bytes."""
+    if not len(column):
+        return
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_binary())
