@@ -130,6 +130,32 @@ def test_toxicity_counts_against_brute_force(spark):
     assert np.allclose(ratios, toxicity._ratios(counts[0], counts[1], preceders), atol=1e-5)
 
 
+def test_words_of_one_bucket_have_figures_of_their_own(spark):
+    """Two words whose hashes agree in the last bits: one toxic, the other ordinary; and all ratios against a plain loop."""
+    names = [f"w{k}" for k in range(8000)]
+    raw = np.frombuffer(" ".join(names).encode(), dtype=np.uint8)
+    buckets, seen = toxicity._Words(raw, np.array([0, len(raw)])).words.tolist(), {}
+    bad, good = next((seen[b], w) for w, b in zip(names, buckets, strict=True) if seen.setdefault(b, w) != w)
+    learn = [(2, f"{bad} thing {k}") for k in range(30)] + [(0, f"{good} thing {k}") for k in range(30)] + [(1, f"{good} other"), (3, f"{bad} other")]
+    rows = spark.createDataFrame(learn, "kind int, text string")
+    found = toxicity._learned(toxicity.map_arrow(rows, toxicity._word_pairs, "word long, before long, kind int, n long"))
+    hashes = lambda text: toxicity._Words(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())]), toxicity.ALL_BITS).words
+    for kinds, ratios in zip(({0, 2}, {0, 1, 2, 3}), found, strict=True):
+        counts, pairs = {0: {}, 1: {}}, set()
+        for kind, text in learn:
+            if kind in kinds:
+                words = text.split()
+                for w in set(words):
+                    counts[kind // 2][w] = counts[kind // 2].get(w, 0) + 1
+                pairs |= set(zip([None, *words], words, strict=False))
+        vocabulary = {w for _, w in pairs}
+        for w in [*vocabulary, "never"]:
+            shared = (sum(v == w for _, v in pairs) + 0.5) / (len(pairs) + 0.5 * (len(vocabulary) + 1))
+            p = [max(c.get(w, 0) - 0.75, 0) / sum(c.values()) + 0.75 * len(c) / sum(c.values()) * shared for c in counts.values()]
+            assert ratios.of(hashes(w))[0] == pytest.approx(math.log(p[1] / p[0]), abs=1e-5)
+        assert ratios.of(hashes(bad))[0] > 1 and ratios.of(hashes(good))[0] < -1
+
+
 @pytest.mark.parametrize("operator", [quality.op1_quality, toxicity.op5_toxicity])
 def test_nothing_to_learn_from(spark, operator):
     docs, labels = marked(spark, 9)
