@@ -22,11 +22,11 @@ from quire.runtime import map_arrow
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style title template noscript noframes noembed iframe datalist object audio video canvas svg math area param source track link meta base rp".split())
+HIDDEN = frozenset("head script style title template noscript noframes noembed iframe datalist object audio video canvas area param source track link meta base rp".split())
 #: Blocks with a blank line around them, and blocks that only start a line of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset form".split())
 BLOCK = SPACED | frozenset(
-    "html body div article section nav aside header footer main address li dt dd tr td th caption tbody thead tfoot figcaption details summary dialog legend center optgroup option menu search hgroup".split()
+    "html body div article section nav aside header footer main address li dt dd tr td th caption tbody thead tfoot figcaption details summary dialog legend center optgroup option menu search hgroup text foreignobject".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph.
@@ -48,6 +48,14 @@ _ENDS = {
     "rt": (frozenset({"rt", "rp"}), frozenset({"ruby"})),
     "rp": (frozenset({"rt", "rp"}), frozenset({"ruby"})),
 }
+#: What may stand in a head; anything else ends it.
+_IN_HEAD = frozenset("head base link meta noframes noscript script style template title".split())
+#: Start tags that end an open svg or math, since they can't stand in one.
+_ENDS_FOREIGN = _ENDS_P | frozenset("b big body br code em embed i img meta nobr s small span strong strike sub sup table tt u var".split())
+#: In svg, texts are shown only in these, and not in the others; in math not in annotations.
+_SVG_SHOWN = ("text", "foreignobject")
+_SVG_UNSEEN = ("desc", "metadata", "defs", "symbol", "clippath", "mask", "pattern", "marker")
+_MATH_UNSEEN = ("annotation", "annotation-xml")
 #: End tags don't look beyond these.
 _WALLS = frozenset("table td th caption template html".split())
 _END_WALLS = {t: _WALLS - {t} for t in _WALLS} | {t: _WALLS - {"td", "th", "caption"} for t in ("tr", "tbody", "thead", "tfoot")} | {t: frozenset({"html"}) for t in ("table", "template")}
@@ -172,7 +180,7 @@ def parse(page: str) -> Node:
             else:
                 own = page[m.end() : end]
                 _start(stack, tag, own)
-                if tag in RAW:
+                if tag in RAW and not (own.endswith("/") and _foreign(stack)):
                     close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at_next)
                     raw = page[at_next : close.start() if close else size]
                     if raw and stack[-1].tag == tag:
@@ -186,13 +194,30 @@ def parse(page: str) -> Node:
     return root
 
 
+def _foreign(stack: _Open) -> bool:
+    """Whether svg or math is open, and no HTML within it."""
+    count = stack.count
+    return bool((count.get("svg") or count.get("math")) and not count.get("foreignobject"))
+
+
 def _text(stack: _Open, text: str) -> None:
     if "&" in text:
         text = html.unescape(text)
+    count = stack.count
+    if count.get("svg") and (not any(map(count.get, _SVG_SHOWN)) or any(map(count.get, _SVG_UNSEEN))):
+        return
+    if count.get("math") and any(map(count.get, _MATH_UNSEEN)):
+        return
+    if stack[-1].tag == "head" and text.strip(_SPACE + "\0"):
+        stack.cut(len(stack) - 1)  # the body is implied
     stack[-1].kids.append(text)
 
 
 def _start(stack: _Open, tag: str, attributes: str) -> None:
+    if tag in _ENDS_FOREIGN and _foreign(stack):
+        stack.cut(next(k for k, node in enumerate(stack) if node.tag in ("svg", "math")))
+    if tag == "body" and stack[-1].tag == "head":
+        stack.cut(len(stack) - 1)
     if tag in ("html", "body"):
         return
     if tag in _ENDS_P:
@@ -203,8 +228,11 @@ def _start(stack: _Open, tag: str, attributes: str) -> None:
         stack.close(*_ENDS[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             stack.put(Node("tr"))  # cells stand in rows; one that isn't there is implied
-    if stack[-1].tag == "head" and tag not in HIDDEN:
+    if stack[-1].tag == "head" and tag not in _IN_HEAD:
         stack.cut(len(stack) - 1)  # the body is implied
+    if attributes.endswith("/") and (tag in ("svg", "math") or _foreign(stack)):
+        stack[-1].kids.append(Node(tag, attributes))  # empty; only svg and math have such tags
+        return
     stack.put(Node(tag, attributes))
 
 

@@ -37,6 +37,26 @@ def test_layout(page, expected):
     assert html.to_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<head><title>t</title><body>Hello <b>x</b>", "Hello x"),
+        ("<html><head><title>t</title><body>only text", "only text"),
+        ("<head><title>t</title>no body tag &amp; text", "no body tag & text"),
+        ("<head> <meta charset=x>\n<style>p{}</style> <link rel=x>\n</head><body>y", "y"),
+        ("<head><template><body>no</template></head><body>yes", "yes"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds", "so x=1 holds"),
+        ("<svg><title/><desc>no</desc><defs><text>no</text></defs>no" + "<path d='x'/>" * 600 + "<text>Label <tspan>one</tspan></text><text>two</text></svg>after", "Label one\ntwo\nafter"),
+        ("<svg><foreignObject><p>in <b>html</b></p></foreignObject></svg>", "in html"),
+        ("<p>a <svg/>b", "a b"),
+        ("<svg><path><p>after an svg that never ends", "after an svg that never ends"),
+        ("<mask>kept</mask> <annotation>kept</annotation>", "kept kept"),
+    ],
+)
+def test_nothing_visible_is_lost(page, expected):
+    assert html.to_text(page) == expected
+
+
 def test_columns_are_aligned():
     lines = html.to_text("<table><tr><td colspan=2>w<td>z<tr><td>aaa<td>b<td>c</table>").split("\n")
     assert lines[0].index("z") == lines[1].index("c")
