@@ -130,6 +130,23 @@ def test_toxicity_counts_against_brute_force(spark):
     assert np.allclose(ratios, toxicity._ratios(counts[0], counts[1], preceders), atol=1e-5)
 
 
+def test_copies_have_their_majority_label(spark):
+    """Each text five times, and the copy with the smallest id has the wrong label."""
+    docs, labels = marked(spark, 150)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    ids = (k for k in range(1000, 9000) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows, marks = [], []
+    for r in docs.orderBy("doc_id").collect():
+        for copy in range(5):
+            k = next(ids)
+            rows.append((k, *r[1:]))
+            marks.append((k, 0, toxic[r.doc_id] ^ int(copy == 0)))
+    copies, wrong = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.scored(copies, wrong).toPandas().set_index("doc_id").score
+    truth = [toxic[k] for k in sorted(toxic) for _ in range(5)]
+    assert auc(truth, [got[r[0]] for r in rows]) > 0.9
+
+
 def test_words_of_one_bucket_have_figures_of_their_own(spark):
     """Two words whose hashes agree in the last bits: one toxic, the other ordinary; and all ratios against a plain loop."""
     names = [f"w{k}" for k in range(8000)]
