@@ -69,23 +69,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
     )
 
 
-def copies(
-    documents: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, rate, n_copies, taken.
-
-    Null text has size 0; null source is a source of its own; null or repeated doc_ids are
-    rows like any others (equal rows may swap their places, the rows of the result don't
-    change). An empty table gives an empty result. Other columns are ignored.
-    """
-    size = word_count(F.col("text"))
+def _drawn(sizes: DataFrame, weights: Sequence[int], budget: float, most: float, seed: str, bucket_rows: int) -> DataFrame:
+    """``sizes`` (doc_id, source, size, tie, row), read twice, with source_size, target, rate, n_copies."""
     bits = F.length(F.bin("size"))
-    sizes = documents.select("doc_id", "source", size.alias("size"))
-    sizes = checkpointed(sizes)  # two passes follow, and neither reads a text again
     rows = sizes.select(
-        "doc_id",
-        "source",
-        "size",
+        "*",
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
         (bits * 8 + F.floor(F.col("size") * 8 / F.pow(F.lit(2.0), bits - 1))).cast("int").alias("cls"),
         _uniform32(F.concat(F.lit(seed + "#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
@@ -103,11 +91,30 @@ def copies(
     ranges = ranged.groupBy("key", "cls", "rng").agg(F.count("*").alias("n"))
     by_range = Window.partitionBy("key", "cls").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("key", "cls", "rng", F.coalesce(F.sum("n").over(by_range), F.lit(0)).alias("range_base"))
-    within = Window.partitionBy("key", "cls", "rng").orderBy("h", "doc_id")
+    within = Window.partitionBy("key", "cls", "rng").orderBy("h", "doc_id", "tie", "row")
     numbered = ranged.join(ranges, ["key", "cls", "rng"]).withColumn("within", F.row_number().over(within))
     rank = F.col("class_base") + F.col("range_base") + F.col("within")
     step = F.floor(F.col("rate") * rank + F.col("offset")) - F.floor(F.col("rate") * (rank - 1) + F.col("offset"))
-    return numbered.withColumn("n_copies", step.cast("int")).select(
+    return numbered.withColumn("n_copies", step.cast("int"))
+
+
+def _size_and_tie() -> list[Column]:
+    """A row's size, and a hash that puts rows of equal ids but different texts in an order of their own."""
+    return [word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")]
+
+
+def copies(
+    documents: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, rate, n_copies, taken.
+
+    Null text has size 0; null source is a source of its own; null or repeated doc_ids are
+    rows like any others, in the order of a hash of their texts (rows equal in that too may swap
+    their places, the rows of the result don't change). Texts of any length count whole. An empty
+    table gives an empty result. Other columns are ignored.
+    """
+    sizes = checkpointed(documents.select("doc_id", "source", *_size_and_tie(), F.lit(0).alias("row")))  # two passes follow, and neither reads a text again
+    return _drawn(sizes, weights, budget, most, seed, bucket_rows).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken")
     )
 
@@ -117,27 +124,21 @@ def op10_mix_sources(documents: DataFrame) -> DataFrame:
     return copies(documents).select("doc_id", "size", "source_size", "target", "taken", "n_copies")
 
 
-def _key() -> Column:
-    """A text that is equal for rows of equal (doc_id, source, size)."""
-    return F.to_json(F.struct("doc_id", "source", F.col("_size").alias("size")), {"ignoreNullFields": "false"})
-
-
-def mixed(documents: DataFrame, **settings) -> DataFrame:
+def mixed(
+    documents: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """The mix itself: all columns of ``documents``, each row as often as it was drawn, and copy_no from 1.
 
-    Rows of equal doc_id, source and size share what they were given, the first ones one copy
-    more where it doesn't divide. A column named copy_no of ``documents`` is replaced. Texts
-    are shuffled once.
+    Rows are drawn one by one, as ``copies`` has it for nulls, ties and repeated rows. A column
+    named copy_no of ``documents`` is replaced; others may have any names. Rows are written once,
+    numbered, and shuffled once, by their number, without a sort; sizes are counted once.
     """
-    drawn = copies(documents.select("doc_id", "source", "text"), **settings).withColumnRenamed("size", "_size")
-    drawn = drawn.groupBy(_key().alias("_key")).agg(F.sum("n_copies").alias("_total"), F.count("*").alias("_rows")).where("_total > 0")
-    columns = [c for c in documents.columns if c != "copy_no"]
-    own = documents.select(*columns).withColumn("_size", word_count(F.col("text"))).withColumn("_key", _key())
-    own = own.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    base = F.floor(F.col("_total") / F.col("_rows"))
-    n = (base + F.when(F.col("_turn") <= F.col("_total") - base * F.col("_rows"), 1).otherwise(0)).cast("int")
-    taken = own.join(drawn, "_key").withColumn("_n", n).where("_n > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
+    columns = [c for c in documents.columns if c.lower() != "copy_no"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole")
+    rows = checkpointed(documents.select(whole, "doc_id", "source", *_size_and_tie(), F.monotonically_increasing_id().alias("row")))
+    drawn = _drawn(rows.drop("whole"), weights, budget, most, seed, bucket_rows).where("n_copies > 0").select("row", "n_copies")
+    taken = rows.select("row", "whole").join(drawn.hint("shuffle_hash"), "row")
+    return taken.select("whole.*", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
 
 
 ORACLE_SQL = f"""

@@ -44,6 +44,8 @@ KINDS = (
 BASE = KINDS[:4]
 #: Code points before and behind a span that are looked at for context words.
 NEAR = 40
+#: Lengths that are added up in one go.
+BLOCK = 128
 #: What a context word adds to a span's score.
 NEARBY = 0.2
 #: A span with this score counts as confident.
@@ -92,29 +94,62 @@ def _parts(text: Column, kind: Kind) -> Column:
     return F.split(F.regexp_replace(text, f"({kind.pattern})", f"{NUL}$1{NUL}"), NUL, -1)
 
 
-def _spans(text: Column, kind: Kind) -> Column:
-    """The kind's spans of a text without NUL: array of (kind, start, end, score), by start."""
-    no_spans = F.expr("array()").cast("array<struct<s:int,e:int,v:string>>")
-    found = F.aggregate(
-        _parts(text, kind),
-        F.struct(F.lit(0).alias("pos"), F.lit(False).alias("odd"), no_spans.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["pos"] + F.length(p)).alias("pos"),
-            (~acc["odd"]).alias("odd"),
-            F.when(acc["odd"], F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("s"), (acc["pos"] + F.length(p)).alias("e"), p.alias("v"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.filter(acc["out"], lambda x: _valid(kind.name, x["v"])),
-    )
+def _let(value: Column, body) -> Column:
+    """``body(value)``, the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _starts(lengths: Column) -> Column:
+    """Running sums of an array, each up to before its item, in blocks, so that none adds up all before it."""
+    n_blocks = F.ceil(F.size(lengths) / BLOCK).cast("int")
+    numbers = F.sequence(F.lit(0), n_blocks - 1)
+    sums = F.transform(numbers, lambda b: _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    bases = _let(sums, lambda s: F.transform(numbers, lambda b: _sum(F.slice(s, F.lit(1), b))))
+
+    def at(base: Column) -> Column:
+        def one(i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            return F.get(base, b) + _sum(F.slice(lengths, b * BLOCK + 1, i % BLOCK))
+
+        return F.transform(F.sequence(F.lit(1), F.size(lengths) - 1, F.lit(2)), one)
+
+    return _let(bases, at)
 
-    def scored(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR)))
-        behind = F.substring(text, x["e"] + 1, F.lit(NEAR))
-        near = F.lower(F.concat(before, F.lit(" "), behind)).rlike(kind.context)
-        score = F.lit(kind.base) + F.when(near, NEARBY).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), score.alias("score"))
 
+def _spans(text: Column, kind: Kind) -> Column:
+    """The kind's spans of a text without NUL: array of (kind, start, end, score), by start.
+
+    The work grows with the text and the number of spans, not with their product: context comes
+    from the pieces around a match, of which NEAR at most can lie within NEAR code points on a side.
+    """
     none = F.expr("array()").cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    return F.when(text.rlike(kind.needs), F.transform(found, scored)).otherwise(none)
+    around = 2 * NEAR
+
+    def scored(parts: Column) -> Column:
+        tails = F.transform(parts, lambda p: F.right(p, F.lit(NEAR)))
+        heads = F.transform(parts, lambda p: F.left(p, F.lit(NEAR)))
+        matches = F.filter(F.transform(parts, lambda p, i: F.when(i % 2 == 1, p)), lambda p: p.isNotNull())
+
+        def rows(x: Column) -> Column:
+            def row(v: Column, k: Column) -> Column:
+                at = 2 * k + 1  # the match's piece, from 0
+                before = F.right(F.array_join(F.slice(x["tails"], F.greatest(at - around, F.lit(0)) + 1, F.least(at, F.lit(around))), ""), F.lit(NEAR))
+                behind = F.left(F.array_join(F.slice(x["heads"], at + 2, F.lit(around)), ""), F.lit(NEAR))
+                near = F.lower(F.concat(before, F.lit(" "), behind)).rlike(kind.context)
+                score = F.lit(kind.base) + F.when(near, NEARBY).otherwise(0.0)
+                start = F.get(x["starts"], k)
+                return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"), F.when(_valid(kind.name, v), score).alias("score"))
+
+            return F.filter(F.transform(x["matches"], row), lambda r: r["score"].isNotNull())
+
+        all_of = F.struct(tails.alias("tails"), heads.alias("heads"), matches.alias("matches"), _let(F.transform(parts, F.length), _starts).alias("starts"))
+        return F.when(F.size(parts) > 1, _let(all_of, rows)).otherwise(none)
+
+    return F.when(text.rlike(kind.needs), _let(_parts(text, kind), scored)).otherwise(none)
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -204,10 +239,17 @@ ORACLE_SQL = _oracle()
 def redact(documents: DataFrame) -> DataFrame:
     """``documents`` with every span that holds replaced by its kind, as ``[EMAIL]``; null texts stay null.
 
-    n_chars, where there is such a column, follows the new text. Each kind is a step of its own
+    Whatever isn't part of a span stays as it is, NUL too. Null and repeated doc_ids are rows like
+    others; other columns stay, whatever their names, but n_chars, where there is such a column,
+    follows the new text. Texts of any length are redacted whole. Each kind is a step of its own
     that reads the text several times; as one expression the steps would multiply.
     """
-    out = documents.withColumn("text", F.translate(F.col("text"), NUL, "\u0001"))
+    # While the marks are NUL, the text's own NULs are U+0001 U+0002, and its U+0001 are U+0001 U+0003.
+    escaped = F.replace(F.replace("text", F.lit("\u0001"), F.lit("\u0001\u0003")), F.lit(NUL), F.lit("\u0001\u0002"))
+    odd = F.col("text").rlike("[\u0000\u0001]")
+    out = documents.withColumn("text", F.when(odd, escaped).otherwise(F.col("text")))
     for name in ("email", "iban", "card", "ssn", "phone", "ip"):
         out = out.withColumn("text", _redact(F.col("text"), next(k for k in KINDS if k.name == name)))
+    plain = F.replace(F.replace("text", F.lit("\u0001\u0002"), F.lit(NUL)), F.lit("\u0001\u0003"), F.lit("\u0001"))
+    out = out.withColumn("text", F.when(F.contains("text", F.lit("\u0001")), plain).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in documents.columns else out

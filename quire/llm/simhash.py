@@ -199,14 +199,3 @@ def _hex(fp: Column) -> Column:
 def op6_simhash_near_dedup(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
-
-def representatives(documents: DataFrame) -> DataFrame:
-    """``documents``, all their columns, with one row of each group: that of the smallest doc_id.
-
-    Of rows with the same doc_id one stays. Rows with a null doc_id stay, since a decision on
-    ids can't name them. Texts are shuffled once, by doc_id.
-    """
-    found = near_duplicates(documents.select("doc_id", "text"))
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
-    return one.union(documents.where("doc_id IS NULL"))

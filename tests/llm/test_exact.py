@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, licenses, mixing, pii, queries, simhash, topk
+from quire.llm import decontaminate, licenses, mixing, neardup, pii, queries, simhash, topk
 from tests.llm.helpers import DATA, duck, have_data, rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, copy_no int"
@@ -67,6 +68,33 @@ def test_personal_data_against_patterns(spark):
         assert [got[k][f"n_{n}"] for n in ("email", "ip", "card", "phone")] == [sum(s[0] == n for s in spans) for n in ("email", "ip", "card", "phone")]
 
 
+def test_personal_data_of_nothing_repeats_and_long_texts(spark):
+    assert pii.op8_personal_data(documents(spark, [])).count() == 0 and pii.redact(documents(spark, [])).count() == 0
+    long = "".join(f"w{k} a{k}@b.cd 10.0.{k % 300}.1 " for k in range(700)) + "x" * 20_000 + " 4111 1111 1111 1111"
+    got = pii.op8_personal_data(documents(spark, [(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd"), (2, long)])).collect()
+    assert [r.n_email for r in got if r.doc_id != 2] == [1, 1, 1]
+    joined = ",".join(f"{a}:{b}:{c}" for a, b, c in personal(long))
+    assert next(r.base_sha256 for r in got if r.doc_id == 2) == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_redaction_leaves_the_rest_alone(spark):
+    odd = ["a\0b", "\x01\x02 \0", "\x01", "\0mail a@b.cd\0\x01\x03", None, ""]
+    got = {r.doc_id: r.text for r in pii.redact(documents(spark, enumerate(odd))).collect()}
+    assert [got[k] for k in range(len(odd))] == [*odd[:3], "\0mail [EMAIL]\0\x01\x03", None, ""]
+
+
+@pytest.mark.parametrize("of", [lambda n: "mail a@b.cd now " * n])
+def test_personal_data_takes_linear_time(spark, of):
+    took = []
+    for n in (4000, 8000, 16000):
+        df = documents(spark, [(1, of(n))])
+        pii.op8_personal_data(df).collect()
+        start = time.monotonic()
+        pii.op8_personal_data(df).collect()
+        took.append(time.monotonic() - start)
+    assert took[2] < 2.5 * took[1] + 0.5 and took[1] < 2.5 * took[0] + 0.5, took
+
+
 def test_checksums_context_and_redaction(spark):
     docs = documents(spark, [(1, "my iban GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33"), (2, "ssn 123-45-6789 and 666-45-6789"), (3, "mail a@b.cd or 4111 1111 1111 1111"), (None, None)])
     found = {r.doc_id: r for r in pii.op8_personal_data(docs).collect()}
@@ -149,16 +177,74 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
-def test_representatives(spark):
-    same = "one two three four five six seven"
-    docs = documents(spark, [(5, same), (3, same.upper()), (9, "something else entirely goes here now"), (9, "something else entirely goes here now"), (None, same), (7, None), (8, "")])
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [3, 7, 9]
-    assert kept.where("doc_id is null").count() == 1
+def test_fingerprints_of_no_documents(spark):
     assert simhash.op6_simhash_near_dedup(documents(spark, [])).count() == 0
 
 
+# Near duplicates by similarity
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def test_representatives_decide_row_by_row(spark):
+    same = "one two three four five six seven"
+    other = "something else entirely goes here now"
+    docs = documents(spark, [(5, same), (5, other), (9, other.upper()), (9, other), (None, same), (None, "only without an id"), (None, "only  without an ID"), (7, None), (8, ""), (-3, "three  words only")])
+    docs = docs.withColumn("fp", F.lit(1)).withColumn("Row", F.lit(2)).withColumn("a.b", F.lit(3))
+    kept = neardup.representatives(docs)
+    assert kept.schema == docs.schema
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [g for g in got if g[0] is not None] == [(-3, "three  words only"), (5, same), (5, other), (7, None)]
+    assert len([g for g in got if g[0] is None]) == 1
+    assert neardup.representatives(docs.limit(0)).count() == 0
+
+
+def edited(rng, words, share, vocabulary):
+    return [rng.choice(vocabulary) if rng.random() < share else w for w in words]
+
+
+def test_representatives_against_shingle_similarity(spark):
+    """Copies far above 0.8 go, texts far below stay, and a dense group larger than its chunks is one group."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randrange(150, 400))] for _ in range(40)]
+    near = [(100 + k, " ".join(b[:-1] + ["tail"])) for k, b in enumerate(base[:20])]
+    far = [(200 + k, " ".join(edited(rng, b, 0.2, vocabulary))) for k, b in enumerate(base)]
+    crowd = [(300 + k, " ".join(edited(rng, base[0], 0.004, vocabulary))) for k in range(150)]
+    rows_ = [(k, " ".join(b)) for k, b in enumerate(base)] + near + far + crowd
+    for i, t in near:
+        assert similarity(t, rows_[i - 100][1]) > 0.9
+    for i, t in far:
+        assert similarity(t, rows_[i - 200][1]) < 0.6
+    for chunk in (16, 4096):
+        kept = sorted(r.doc_id for r in neardup.representatives(documents(spark, rows_), chunk=chunk).collect())
+        assert kept == list(range(40)) + [i for i, _ in far]
+
+
+def test_dense_groups_lose_no_link():
+    """Clusters along a chain of fingerprints, against all pairs."""
+    rng = np.random.default_rng(12)
+    bits = np.zeros((120, neardup.WORDS64), dtype=np.uint64)
+    for k in range(1, 120):
+        bits[k] = bits[k - 1]
+        for b in rng.integers(0, 1024, rng.integers(1, 130)):
+            bits[k, b // 64] ^= np.uint64(1 << int(b % 64))
+    a, b = neardup._dense(bits, 100)
+    nodes = np.arange(120)
+    every = [(x, y) for x in range(120) for y in range(x) if np.bitwise_count(bits[x] ^ bits[y]).sum() <= 100]
+    got = simhash._roots(120, np.array(a), np.array(b))
+    want = simhash._roots(120, np.array([x for x, _ in every]), np.array([y for _, y in every]))
+    assert (got == want).all() and len(a) < len(every) and len(nodes) == 120
+
+
 # Decontamination
 
 
@@ -295,6 +381,17 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_mixed_rows_of_equal_ids_and_clashing_names(spark):
+    df = documents(spark, [(1, "a b c"), (1, "d e f"), (1, "a b c"), (None, "x y z"), (None, "u v w")] + [(k, "w " * (k % 7)) for k in range(50, 90)])
+    df = df.withColumns({c: F.lit("mine") for c in ("row", "whole", "_size", "size", "key", "tie", "n_copies", "Source_size", "a.b")})
+    first, again = (sorted(map(tuple, mixing.mixed(x).drop("copy_no").collect()), key=str) for x in (df, df.repartition(3)))
+    assert first == again and all(r.a == "mine" for r in mixing.mixed(df).select(F.col("`a.b`").alias("a")).collect())
+    counts = mixing.copies(df)
+    assert len(first) == counts.agg(F.sum("n_copies")).collect()[0][0]
+    long = documents(spark, [(1, "w " * 300_000), (2, "w")])
+    assert {r["size"] for r in mixing.copies(long).collect()} == {300_000, 1}
+
+
 def test_plans_of_native_operators_have_no_python(spark):
     docs = documents(spark, [(1, "a@b.cd Licensed under the MIT license")])
     for df in (pii.op8_personal_data(docs), pii.redact(docs), licenses.op7_license_scan(docs), mixing.op10_mix_sources(docs), mixing.mixed(docs)):
