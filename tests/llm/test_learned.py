@@ -1,7 +1,9 @@
 """Classifiers: accuracy on held-out rows, and rows that have nothing to score."""
 
 import math
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -115,19 +117,54 @@ def test_toxicity_on_held_out_documents(spark):
     assert got.score.between(0, 1).all() and len(got) == 603
 
 
-def test_toxicity_counts_against_brute_force(spark):
-    docs, labels = marked(spark, 40)
-    learn = docs.join(labels.selectExpr("doc_id", "toxic * 2 as kind"), "doc_id").select("kind", "text")
-    ratios, _ = toxicity._gathered(toxicity.map_arrow(learn, toxicity._counted, "pair long, kind int, n long"))
-    counts = np.zeros((2, toxicity.WORD_BUCKETS), dtype=np.float32)
-    pairs = set()
-    for kind, text in learn.collect():
-        words = toxicity._Words(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())]))
-        for w in set(words.words.tolist()):
-            counts[kind // 2, w] += 1
-        pairs |= set(zip([0, *words.words[:-1].tolist()], words.words.tolist(), strict=True))
-    preceders = np.bincount([w for _, w in pairs], minlength=toxicity.WORD_BUCKETS).astype(np.float32)
-    assert np.allclose(ratios, toxicity._ratios(counts[0], counts[1], preceders), atol=1e-5)
+def brute_figures(learn, texts):
+    """The figure of each text from its words, by plain loops; ``learn`` has (toxic, text), each text once."""
+    words_of = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    counts, pairs = ({}, {}), set()
+    for toxic, text in learn:
+        words = words_of(text)
+        for w in set(words):
+            counts[toxic][w] = counts[toxic].get(w, 0) + 1
+        pairs |= set(zip([None, *words], words, strict=False))
+    vocabulary = {w for _, w in pairs}
+    preceders = {v: sum(w == v for _, w in pairs) for v in vocabulary}
+
+    def likelihood(w, c):
+        total, once, twice = sum(c.values()), sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = once / (once + 2 * twice) if once and twice else 0.75
+        shared = (preceders.get(w, 0) + 0.5) / (len(pairs) + 0.5 * (len(vocabulary) + 1))
+        return max(c.get(w, 0) - d, 0) / total + d * len(c) / total * shared
+
+    out = []
+    for text in texts:
+        words = set(words_of(text))
+        out.append(sum(max(0.0, math.log(likelihood(w, counts[1]) / likelihood(w, counts[0])) - toxicity.LIMIT) for w in words) / max(1, len(words)))
+    return out
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    docs, labels = marked(spark, 200)
+    rows, toxic = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    learn = [(toxic[k], t) for k, t in rows.items() if zlib.crc32(str(k).encode()) % 4 != 2]
+    ask = [*rows.values(), "", "Nasty, VILE nasty things", "nothing known here at all"]
+    figures = np.array(brute_figures(learn, ask))
+    model = toxicity.fit(docs, labels)
+    assert (figures > 0).sum() > 50 and model.curve[1] > 0
+    more = spark.createDataFrame([(10_000 + k, t, None, "s", "x") for k, t in enumerate(ask[200:])], DOCS)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs.union(more), labels).collect()}
+    for k, x in zip([*rows, 10_000, 10_001, 10_002], figures, strict=True):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * x))), abs=1e-5)
+
+
+@pytest.mark.parametrize(("data", "least"), [("/root/testdata/sf0.01", 0.85), ("/root/testdata/sf0.1", 0.94)])
+def test_toxicity_on_the_tables(spark, data, least):
+    if not os.path.isdir(data):
+        pytest.skip("no driver tables")
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    got = toxicity.op5_toxicity(docs, labels).toPandas().merge(labels.select("doc_id", "toxic").toPandas(), on="doc_id")
+    held = got[got.held_out]
+    print(data, "AUC", auc(held.toxic, held.score), "precision", held.toxic[held.predicted == 1].mean(), "recall", held.predicted[held.toxic == 1].mean())
+    assert auc(held.toxic, held.score) > least
 
 
 def test_copies_have_their_majority_label(spark):
@@ -147,38 +184,13 @@ def test_copies_have_their_majority_label(spark):
     assert auc(truth, [got[r[0]] for r in rows]) > 0.9
 
 
-def test_words_of_one_bucket_have_figures_of_their_own(spark):
-    """Two words whose hashes agree in the last bits: one toxic, the other ordinary; and all ratios against a plain loop."""
-    names = [f"w{k}" for k in range(8000)]
-    raw = np.frombuffer(" ".join(names).encode(), dtype=np.uint8)
-    buckets, seen = toxicity._Words(raw, np.array([0, len(raw)])).words.tolist(), {}
-    bad, good = next((seen[b], w) for w, b in zip(names, buckets, strict=True) if seen.setdefault(b, w) != w)
-    learn = [(2, f"{bad} thing {k}") for k in range(30)] + [(0, f"{good} thing {k}") for k in range(30)] + [(1, f"{good} other"), (3, f"{bad} other")]
-    rows = spark.createDataFrame(learn, "kind int, text string")
-    found = toxicity._learned(toxicity.map_arrow(rows, toxicity._word_pairs, "word long, before long, kind int, n long"))
-    hashes = lambda text: toxicity._Words(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())]), toxicity.ALL_BITS).words
-    for kinds, ratios in zip(({0, 2}, {0, 1, 2, 3}), found, strict=True):
-        counts, pairs = {0: {}, 1: {}}, set()
-        for kind, text in learn:
-            if kind in kinds:
-                words = text.split()
-                for w in set(words):
-                    counts[kind // 2][w] = counts[kind // 2].get(w, 0) + 1
-                pairs |= set(zip([None, *words], words, strict=False))
-        vocabulary = {w for _, w in pairs}
-        for w in [*vocabulary, "never"]:
-            shared = (sum(v == w for _, v in pairs) + 0.5) / (len(pairs) + 0.5 * (len(vocabulary) + 1))
-            p = [max(c.get(w, 0) - 0.75, 0) / sum(c.values()) + 0.75 * len(c) / sum(c.values()) * shared for c in counts.values()]
-            assert ratios.of(hashes(w))[0] == pytest.approx(math.log(p[1] / p[0]), abs=1e-5)
-        assert ratios.of(hashes(bad))[0] > 1 and ratios.of(hashes(good))[0] < -1
-
-
 @pytest.mark.parametrize("operator", [quality.op1_quality, toxicity.op5_toxicity])
 def test_nothing_to_learn_from(spark, operator):
     docs, labels = marked(spark, 9)
     none = labels.limit(0)
     assert {r.score for r in operator(docs, none).collect()} == {0.5}
     assert operator(docs.limit(0), labels).count() == 0
+    assert operator(docs.union(docs), labels.union(labels)).count() == 18
     odd = labels.selectExpr("cast(null as long) doc_id", "quality", "toxic").union(labels.selectExpr("doc_id + 100000", "quality", "toxic")).union(labels.selectExpr("doc_id", "cast(null as int)", "cast(null as int)"))
     assert operator(docs, odd).count() == 9
 
@@ -188,6 +200,8 @@ def test_empty_and_very_long_texts_have_scores(spark):
     odd = spark.createDataFrame([(5001, None, None, "s", "x"), (5002, "", None, "s", "x"), (5003, " \n", None, "s", "x"), (5004, "word " * 400_000, None, "s", "x"), (5004, "w" * 1_500_000, None, "s", "x")], DOCS)
     got = [r.score for r in quality.scored(docs.union(odd), labels).where("doc_id > 5000").collect()]
     assert len(got) == 5 and all(0 <= s <= 1 for s in got)
+    got = [r.score for r in toxicity.scored(docs.union(odd), labels).where("doc_id > 5000").collect()]
+    assert len(got) == 5 and all(0 <= s <= 1 for s in got)
     kept = quality.accepted(docs.union(odd), labels)
     assert kept.schema == docs.schema
 
