@@ -147,7 +147,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chun
     return map_arrow(rows, _links(distance), "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b): the smallest node that each one reaches.
 
     Large-star and small-star rounds until nothing changes. Every aggregate combines before its
@@ -155,7 +155,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:  # a round at least halves the longest chain, so there are few
         # Large star: of all neighbours, the larger ones go to the smallest.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -168,7 +168,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         state = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
