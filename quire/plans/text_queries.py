@@ -146,8 +146,28 @@ _SEEDED = "seeded AS (SELECT doc_id, 'ﬁne æon so' || chr(173) || 'ft inter-
 _LIGATURES = "text"
 for _old, _new in fn.LIGATURES:
     _LIGATURES = f"replace({_LIGATURES}, '{_old}', '{_new}')"
+_DEHYPHENATED = "regexp_replace(replace({0}, chr(173), ''), '-\\s*\\n\\s*', '', 'g')"
+#: DuckDB composes characters only; the compatibility characters that the seeded texts hold are among the ligatures.
+CANONICAL = _DEHYPHENATED.format(_LIGATURES.replace("text", "nfc_normalize({0})"))
+_W = "[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]"
+_COMPARISON = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace({{0}}, '\\s+([,.:;!?])', '\\1', 'g'), '—', '-'), '–', '-'), '\\b(\\d{{{{1,3}}}})\\.\\s', '\\1 ', 'g'),
+  '({_W})-\\s+', '\\1 ', 'g'), '({_W})-({_W})', '\\1 \\2', 'g'), '({_W})-({_W})', '\\1 \\2', 'g')"""
+_UNESCAPED = "x"
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_char}')"
+#: Text nodes of HTML, each without blanks at its ends, joined by blanks. Scripts, styles, comments and declarations go.
+TAGLESS = f"""array_to_string(list_filter(list_transform(string_split_regex(regexp_replace({{0}}, '(?is)<!--.*?-->|<!\\w[^>]*>|<[?][^>]*>|<script\\b.*?</script>|<style\\b.*?</style>', chr(1), 'g'), '<[^>]*>|' || chr(1)),
+  lambda x: trim({_UNESCAPED}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> ''), ' ')"""
 _SCORES = """CASE WHEN n_chunks = 0 THEN 100.0 ELSE n_found * 100.0 / n_chunks END::DOUBLE AS completeness, CASE WHEN n_found = 0 THEN 100.0 ELSE lis * 100.0 / n_found END::DOUBLE AS order_score"""
 
+_COMPLETE = f"""{_MATCHES}, p AS (
+  SELECT r.doc_id, count(*) FILTER (r.chunk_no >= 0)::INT AS n_chunks, count(*) FILTER (kind = 'exact')::INT AS n_exact, count(*) FILTER (kind = 'fuzzy')::INT AS n_fuzzy,
+    count(*) FILTER (kind = 'missing' AND length(trim(c.text)) >= 20)::INT AS n_failed, coalesce(list(pos ORDER BY r.chunk_no) FILTER (kind IN ('exact', 'fuzzy')), []) AS l
+  FROM r LEFT JOIN chunks c ON c.doc_id = r.doc_id AND c.chunk_no = r.chunk_no GROUP BY 1
+), q AS (SELECT doc_id, n_chunks, n_exact, n_fuzzy, n_failed, n_exact + n_fuzzy AS n_found, ({_LIS.format("l")})::INT AS lis FROM p),
+s AS (SELECT *, {_SCORES}, n_failed = 0 AS is_valid FROM q), verdicts AS (SELECT *, CASE WHEN completeness >= 95 AND order_score >= 80 THEN 'pass' ELSE 'fail' END AS status FROM s)"""
+_MISSED = "SELECT doc_id, chunk_no, start_index, text FROM r JOIN chunks USING (doc_id, chunk_no) WHERE kind = 'missing' AND length(trim(text)) >= 20"
+
 ORACLES = {
     "normalize_whitespace": "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents",
     "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
@@ -162,12 +182,18 @@ ORACLES = {
       SELECT doc_id, count(*) FILTER (chunk_no >= 0)::INT AS n_chunks, count(*) FILTER (pos >= 0)::INT AS n_found, coalesce(list(pos ORDER BY chunk_no) FILTER (pos >= 0), []) AS l FROM r GROUP BY 1
     ), q AS (SELECT doc_id, n_chunks, n_found, ({_LIS.format("l")})::INT AS lis FROM p) SELECT *, {_SCORES} FROM q""",
     "fuzzy_find": f"WITH RECURSIVE {_MATCHES} SELECT doc_id, chunk_no, pos::INT AS pos, kind FROM r WHERE chunk_no >= 0",
-    "completeness_score": f"""WITH RECURSIVE {_MATCHES}, p AS (
-      SELECT r.doc_id, count(*) FILTER (r.chunk_no >= 0)::INT AS n_chunks, count(*) FILTER (kind = 'exact')::INT AS n_exact, count(*) FILTER (kind = 'fuzzy')::INT AS n_fuzzy,
-        count(*) FILTER (kind = 'missing' AND length(trim(c.text)) >= 20)::INT AS n_failed, coalesce(list(pos ORDER BY r.chunk_no) FILTER (kind IN ('exact', 'fuzzy')), []) AS l
-      FROM r LEFT JOIN chunks c ON c.doc_id = r.doc_id AND c.chunk_no = r.chunk_no GROUP BY 1
-    ), q AS (SELECT doc_id, n_chunks, n_exact, n_fuzzy, n_failed, n_exact + n_fuzzy AS n_found, ({_LIS.format("l")})::INT AS lis FROM p),
-    s AS (SELECT *, {_SCORES}, n_failed = 0 AS is_valid FROM q) SELECT *, CASE WHEN completeness >= 95 AND order_score >= 80 THEN 'pass' ELSE 'fail' END AS status FROM s""",
-    "missing_chunks": f"WITH RECURSIVE {_MATCHES} SELECT doc_id, chunk_no, start_index, text FROM r JOIN chunks USING (doc_id, chunk_no) WHERE kind = 'missing' AND length(trim(text)) >= 20",
+    "comparison_form": f"WITH {_SEEDED} SELECT doc_id, {_COMPARISON.format('text')} AS text FROM seeded",
+    "canonicalize_nfkc": f"WITH {_SEEDED} SELECT doc_id, regexp_replace({CANONICAL.format('text')}, '\\p{{C}}', '', 'g') AS text FROM seeded",
+    "html_text": f"SELECT page_id, {TAGLESS.format('html')} AS text FROM pages",
+    "completeness_score": f"WITH RECURSIVE {_COMPLETE} SELECT * FROM verdicts",
+    "missing_chunks": f"WITH RECURSIVE {_MATCHES} {_MISSED}",
+    "reconcile_tokens": f"""WITH RECURSIVE {_MATCHES}, f AS ({_MISSED}),
+      g AS (SELECT f.doc_id, chunk_no, regexp_extract_all(lower({_COMPARISON.format('f.text')}), '[\\p{{L}}\\p{{N}}_]{{4,}}') AS words, tc FROM f JOIN (SELECT doc_id, lower({_COMPARISON.format('t')}) AS tc FROM src) USING (doc_id)),
+      h AS (SELECT doc_id, chunk_no, len(words) AS n, len(list_filter(words, lambda x: contains(tc, x))) AS found FROM g)
+      SELECT doc_id, chunk_no, CASE WHEN n > 0 THEN round(found / n, 4) ELSE 0 END AS coverage, CASE WHEN n > 0 AND found >= 0.98 * n THEN 'approximate' ELSE 'unresolved' END AS resolution FROM h""",
+    "fidelity_report": f"""WITH RECURSIVE {_COMPLETE}, f AS ({_MISSED}),
+      m AS (SELECT doc_id, list(substr(trim(text), 1, 160) ORDER BY chunk_no)[1:3] AS missing FROM f GROUP BY 1)
+      SELECT doc_id, to_json({{'status': status, 'summary': {{'completeness': completeness, 'order_score': order_score, 'n_chunks': n_chunks, 'n_exact': n_exact, 'n_fuzzy': n_fuzzy, 'n_failed': n_failed}},
+        'missing': coalesce(missing, []::VARCHAR[])}})::VARCHAR AS report FROM verdicts LEFT JOIN m USING (doc_id)""",
     "order_score_lis": f"SELECT conv_id, len(l)::BIGINT AS n_turns, ({_LIS.format('l')})::BIGINT AS lis FROM (SELECT conv_id, list(length(text) ORDER BY turn) AS l FROM conversations GROUP BY 1)",
 }

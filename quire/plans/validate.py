@@ -92,12 +92,12 @@ def summary_text(stats: DataFrame) -> DataFrame:
         "Words: %s of %s (%.1f%%)\nChapters: %d, headings: %d, notes: %d\nCompleteness: %.1f%%, order: %.1f%%\n%s",
         F.format_number("target_words", 0),
         F.format_number("source_words", 0),
-        "words_kept",
+        F.bround("words_kept", 1),
         "chapters",
         "headings",
         "notes",
-        "completeness",
-        "order_score",
+        F.bround("completeness", 1),
+        F.bround("order_score", 1),
         F.when(passed, "PASS").otherwise("FAIL"),
     )
     return stats.select("doc_id", line.alias("report"))
