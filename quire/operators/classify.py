@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import SPACE, is_upper, strip
-from quire.operators.styles import DEFAULT_FLAGS, DEFAULT_SIZE, body_style, roles
+from quire.operators.styles import with_styles
 from quire.sources.blocks import is_bold
 
 H1, H2, H3 = 80.0, 65.0, 50.0
@@ -39,16 +39,9 @@ def note_number(text: Column, size: Column, body: Column) -> Column:
     return F.when(n.between(1, 99) & (size <= body + 0.5), n)
 
 
-def with_body(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with body_size and body_flags of their document, or defaults."""
-    body = body_style(blocks).select("doc_id", "body_size", "body_flags")
-    rows = blocks.join(body, "doc_id", "left")
-    return rows.withColumns({"body_size": F.coalesce("body_size", F.lit(DEFAULT_SIZE)), "body_flags": F.coalesce("body_flags", F.lit(DEFAULT_FLAGS))})
-
-
 def heading_scores(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with body_size, body_flags, score and signals; gaps count on the same page only."""
-    rows = with_body(blocks)
+    """``blocks`` with body_size, body_flags, style_role, score and signals; gaps count on the same page only."""
+    rows = with_styles(blocks)
     order = Window.partitionBy("doc_id").orderBy("seq")
     rows = rows.withColumns({f"_{side}_{c}": f(c).over(order) for side, f in (("prev", F.lag), ("next", F.lead)) for c in ("page", "y0", "y1")})
     text, size, body = strip(F.col("text")), F.col("font_size"), F.col("body_size")
@@ -78,9 +71,7 @@ def heading_scores(blocks: DataFrame) -> DataFrame:
 
 def classify(blocks: DataFrame) -> DataFrame:
     """``blocks`` with body_size, body_flags, score, signals, role and endnote_num."""
-    styles = roles(blocks).select("doc_id", "font_name", F.col("size").alias("_size"), "flags", "style_role")
-    rows = heading_scores(blocks).withColumn("_size", F.round("font_size", 1))
-    rows = rows.join(styles, ["doc_id", "font_name", "_size", "flags"], "left").withColumn("style_role", F.coalesce("style_role", F.lit("body")))
+    rows = heading_scores(blocks)
     score, diff, bold = F.col("score"), F.col("font_size") - F.col("body_size"), is_bold(F.col("flags"))
     role = F.when(score >= H1, "h1").when(score >= H2, "h2").when(score >= H3, "h3").otherwise("body")
     rows = rows.withColumn("role", role)
@@ -92,7 +83,7 @@ def classify(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("role", F.when((F.col("role") == "body") & is_list_item(F.col("text")), "list-item").otherwise(F.col("role")))
     rows = rows.withColumn("endnote_num", note_number(F.col("text"), F.col("font_size"), F.col("body_size")))
     rows = rows.withColumn("role", F.when((F.col("role") == "body") & F.col("endnote_num").isNotNull(), "endnote").otherwise(F.col("role")))
-    return rows.drop("_size", "style_role")
+    return rows.drop("style_role")
 
 
 def is_heading(role: Column) -> Column:

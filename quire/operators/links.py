@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.runtime import ship
@@ -19,11 +19,21 @@ def nearest_chapter(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """Images (doc_id, image_seq, page, y0, …) with chapter_id and root_no of the nearest block.
 
     Pages count most, then the distance of top edges; the earlier block wins a tie. Documents
-    without blocks have chapter 0 and root 1. An image meets the blocks of its document only.
+    without blocks have chapter 0 and root 1. An image meets the blocks of its page, or of the
+    nearest pages that have some.
     """
+    order = Window.partitionBy("doc_id").orderBy("page")
+    here = F.col("_has")
+    pages = images.select("doc_id", "page", F.lit(0).alias("_b")).union(blocks.select("doc_id", "page", F.lit(1))).groupBy("doc_id", "page").agg(F.max("_b").alias("_b"))
+    pages = pages.withColumn("_has", F.when(F.col("_b") == 1, F.col("page")))
+    before, behind = F.last(here, ignorenulls=True).over(order), F.first(here, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    pages = pages.withColumns({"_before": before, "_behind": behind})
+    least = F.least(F.col("page") - F.col("_before"), F.col("_behind") - F.col("page"))
+    near_pages = F.array_distinct(F.filter(F.array("_before", "_behind"), lambda p: F.abs(p - F.col("page")) == least))
+    pages = pages.select("doc_id", "page", F.explode(near_pages).alias("_page"))
     at = blocks.select("doc_id", F.col("seq").alias("_seq"), F.col("page").alias("_page"), F.col("y0").alias("_y0"), F.col("chapter_id").alias("_chapter"), F.col("root_no").alias("_root"))
     far = F.abs(F.col("page") - F.col("_page")) * PAGE_WEIGHT + F.abs(F.coalesce("y0", F.lit(0.0)) - F.col("_y0"))
-    near = images.select("doc_id", "image_seq", "page", "y0").join(at, "doc_id").withColumn("_far", far)
+    near = images.select("doc_id", "image_seq", "page", "y0").join(pages, ["doc_id", "page"]).join(at, ["doc_id", "_page"]).withColumn("_far", far)
     first = F.struct("_far", "_seq")
     near = near.groupBy("doc_id", "image_seq").agg(F.min_by("_chapter", first).alias("chapter_id"), F.min_by("_root", first).alias("root_no"))
     out = images.join(near, ["doc_id", "image_seq"], "left")

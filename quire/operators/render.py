@@ -11,7 +11,7 @@ from quire.functions.text import escape_html, strip
 from quire.operators import structure
 from quire.operators.classify import is_heading
 from quire.operators.links import figure_html, link_figures, nearest_chapter
-from quire.operators.notes import DEFAULT, link, notes_html
+from quire.operators.notes import DEFAULT, link, note_html
 from quire.runtime import checkpointed
 
 HEADING_FIRST, HEADING_LAST, CHAPTER_LAST = 2, 6, 3
@@ -27,7 +27,7 @@ def _tagged(tag: Column, text: Column) -> Column:
     return F.concat(F.lit("<"), tag, F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
 
 
-def render_chapters(blocks: DataFrame, images: DataFrame | None = None, patterns: Iterable[str] | None = None, link_notes: bool = True) -> DataFrame:
+def render_chapters(blocks: DataFrame, images: DataFrame | None = None, patterns: Iterable[str] | None = None, link_notes: bool = True, back_to: str | None = None) -> DataFrame:
     """(doc_id, chapter_no, title, level, html, is_endnotes): a row per file, that is per chapter at the top.
 
     ``blocks`` are classified; ``images`` are numbered (doc_id, image_seq, anchor, page, y0, x0,
@@ -35,25 +35,21 @@ def render_chapters(blocks: DataFrame, images: DataFrame | None = None, patterns
     escaped, then figures and, if there are notes, note references become links. A heading that
     repeats its chapter's title is left out.
     """
-    # Each of these is read several times below, and none holds more than the blocks do.
-    blocks = checkpointed(blocks)
-    split = checkpointed(structure.split_notes(blocks))
-    table = checkpointed(structure.chapters(blocks, split))
-    main = structure.assign_chapters(structure.merge_headers(split.where("part = 'main'").select(*blocks.columns)))
-    main = checkpointed(main.join(table.select("doc_id", "chapter_id", "root_no"), ["doc_id", "chapter_id"]))
-    file = F.concat(F.lit("chapter"), F.col("root_no"), F.lit(".xhtml"))
-    homes = table.where("is_endnotes").select("doc_id", file.alias("notes_file")) if link_notes else table.select("doc_id", F.lit(None).cast("string").alias("notes_file")).limit(0)
-
-    columns = ["doc_id", "chapter_id", "root_no", "level", "title", "role", "text", "page", "x0", "y0", "y1", "font_size", "kind", "ref"]
-    items = main.withColumns({"kind": F.lit("text"), "ref": F.col("seq")}).select(*columns)
+    # Read once for the pictures and once for the text, and no larger than the blocks.
+    laid = structure.laid_out(blocks)
+    laid = checkpointed(laid) if images is not None else laid
+    home = F.max(F.when(F.col("is_notes"), F.col("root_no"))).over(Window.partitionBy("doc_id"))
+    laid = laid.withColumn("home", home if link_notes else F.lit(None).cast("int"))
+
+    columns = ["doc_id", "chapter_id", "root_no", "home", "title", "role", "text", "page", "x0", "y0", "y1", "font_size", "kind", "ref"]
+    items = laid.where("NOT is_notes").withColumns({"kind": F.lit("text"), "ref": F.col("seq")}).select(*columns)
     if images is not None:
-        placed = checkpointed(nearest_chapter(images, main))
-        titles = table.select("doc_id", "chapter_id", "level", "title")
-        placed = placed.join(titles, ["doc_id", "chapter_id"])
+        placed = checkpointed(nearest_chapter(images, laid.where("NOT is_notes")))
+        known = structure.chapters_of(laid).where("NOT is_endnotes").select("doc_id", "chapter_id", "title")
         box = {"x0": F.coalesce("x0", F.lit(0.0)), "y0": F.coalesce("y0", F.lit(0.0))}
         figure = figure_html(F.col("image_seq"), F.col("page"), F.col("filename"), F.col("anchor"))
-        placed_items = placed.withColumns(box | {"role": F.lit("figure"), "text": figure, "y1": box["y0"], "font_size": F.lit(0.0), "kind": F.lit("image"), "ref": F.col("image_seq")})
-        items = items.unionByName(placed_items.select(*columns))
+        rest = {"role": F.lit("figure"), "text": figure, "y1": box["y0"], "font_size": F.lit(0.0), "kind": F.lit("image"), "ref": F.col("image_seq"), "home": F.lit(None).cast("int")}
+        items = items.unionByName(placed.join(known, ["doc_id", "chapter_id"]).withColumns(box | rest).select(*columns))
     items = items.withColumn("text", F.when(F.col("kind") == "text", strip(F.col("text"))).otherwise(F.col("text")))
     items = items.where((F.col("kind") == "image") | ((F.col("text") != "") & ~(F.col("role").startswith("h") & (F.col("text") == F.col("title")))))
     place = Window.partitionBy("doc_id", "chapter_id").orderBy("page", "y0", "x0", F.col("kind") == "image", "ref")
@@ -62,30 +58,29 @@ def render_chapters(blocks: DataFrame, images: DataFrame | None = None, patterns
     alone = (F.col("kind") == "image") | heading
     islands = structure.paragraph_islands(items, ["doc_id", "chapter_id"], alone)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
-    parts = islands.groupBy("doc_id", "chapter_id", "root_no", "para").agg(F.min("seq").alias("seq"), F.min_by("role", "seq").alias("role"), F.min_by("kind", "seq").alias("kind"), joined.alias("text"))
+    parts = islands.groupBy("doc_id", "chapter_id", "para").agg(F.min(F.struct("seq", "role", "kind", "root_no")).alias("f"), F.max("home").alias("home"), joined.alias("text"))
+    parts = parts.select("doc_id", "chapter_id", "f.*", "home", "text")
     is_paragraph = (F.col("kind") == "text") & ~is_heading(F.col("role"))
     parts = parts.withColumn("html", F.when(is_paragraph, escape_html(F.col("text"))))
     if images is not None:
         parts = link_figures(parts, placed.select("doc_id", "image_seq", "anchor", "root_no"), "html")
-    parts = link(parts.join(homes, "doc_id", "left"), "html", F.col("notes_file"), patterns or DEFAULT)
+    parts = link(parts, "html", F.concat(F.lit("chapter"), F.col("home"), F.lit(".xhtml")), patterns or DEFAULT)
     level = F.greatest(F.lit(HEADING_FIRST), F.least(F.lit(HEADING_LAST), F.substring("role", 2, 2).try_cast("int")))
     html = F.when(F.col("kind") == "image", F.col("text")).when(is_heading(F.col("role")), _tagged(F.concat(F.lit("h"), level), escape_html(F.col("text")))).otherwise(_tagged(F.lit("p"), F.col("html")))
-    parts = parts.select("doc_id", "root_no", "chapter_id", "seq", html.alias("html"))
-    # Chapters below the top begin with their title.
-    below = table.where("parent_id IS NOT NULL")
-    title = _tagged(F.concat(F.lit("h"), F.greatest(F.lit(HEADING_FIRST), F.least(F.lit(HEADING_LAST), F.col("level")))), escape_html(F.col("title")))
-    titles = below.select("doc_id", "root_no", "chapter_id", F.lit(0).alias("seq"), title.alias("html"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("chapter_id", "seq", "html"))), lambda x: x["html"])
-    files = parts.union(titles).groupBy("doc_id", "root_no").agg(F.array_join(ordered, "\n").alias("html"))
-    noted = notes_html(structure._notes(split)).withColumnRenamed("html", "notes")
-    top = table.where("parent_id IS NULL").join(files, ["doc_id", "root_no"], "left").join(noted, "doc_id", "left")
-    return top.select(
-        "doc_id",
-        F.col("root_no").alias("chapter_no"),
-        "title",
-        F.greatest(F.lit(1), F.least(F.lit(CHAPTER_LAST), F.col("level"))).alias("level"),
-        F.coalesce(F.when(F.col("is_endnotes"), F.col("notes")).otherwise(F.col("html")), F.lit("")).alias("html"),
-        "is_endnotes",
-    )
 
+    # A file's pieces: its chapters' parts, titles of those below the top, notes, and one that has the file's own title.
+    def pieces(df: DataFrame, chapter, seq, html, title=None, level=None, is_endnotes=None) -> DataFrame:
+        def own(value, kind: str):
+            return (F.lit(None) if value is None else value).cast(kind)
 
+        return df.select("doc_id", "root_no", own(chapter, "int").alias("c"), own(seq, "int").alias("s"), html.alias("html"), own(title, "string").alias("title"), own(level, "int").alias("level"), own(is_endnotes, "boolean").alias("is_endnotes"))
+
+    table = structure.chapters_of(laid)
+    title = _tagged(F.concat(F.lit("h"), F.greatest(F.lit(HEADING_FIRST), F.least(F.lit(HEADING_LAST), F.col("level")))), escape_html(F.col("title")))
+    own_title = F.col("parent_id").isNull()
+    heads = pieces(table, F.col("chapter_id"), F.lit(0), F.when(~own_title, title), F.when(own_title, F.col("title")), F.when(own_title, F.col("level")), F.when(own_title, F.col("is_endnotes")))
+    noted = pieces(laid.where("is_notes"), F.col("chapter_id"), F.col("seq"), note_html(F.col("text"), F.col("endnote_num"), back_to))
+    every = pieces(parts, F.col("chapter_id"), F.col("seq"), html).union(heads).union(noted)
+    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("html").isNotNull(), F.struct("c", "s", "html")))), lambda x: x["html"])
+    files = every.groupBy("doc_id", "root_no").agg(F.max("title").alias("title"), F.max("level").alias("level"), F.array_join(ordered, "\n").alias("html"), F.max("is_endnotes").alias("is_endnotes"))
+    return files.select("doc_id", F.col("root_no").alias("chapter_no"), "title", F.greatest(F.lit(1), F.least(F.lit(CHAPTER_LAST), F.col("level"))).alias("level"), "html", "is_endnotes")

@@ -27,12 +27,8 @@ def body_style(blocks: DataFrame) -> DataFrame:
     return per.select("doc_id", F.col("s.font_name").alias("body_font"), F.col("s.size").alias("body_size"), F.col("s.flags").alias("body_flags"))
 
 
-def roles(blocks: DataFrame) -> DataFrame:
-    """The histogram with a role per style: body, h1 to h6 by falling size, footnote_or_small, strong, body_variant.
-
-    Each header style has a level of its own, equal sizes by what comes first.
-    """
-    rows = histogram(blocks).join(body_style(blocks), "doc_id")
+def _role(rows: DataFrame) -> DataFrame:
+    """``rows`` (style, n_chars, first_seq, body) with style_role; rows of one style may be many."""
     is_body = (F.col("font_name").eqNullSafe(F.col("body_font"))) & (F.col("size") == F.col("body_size")) & (F.col("flags") == F.col("body_flags"))
     kind = (
         F.when(is_body, "body")
@@ -41,10 +37,40 @@ def roles(blocks: DataFrame) -> DataFrame:
         .when(is_bold(F.col("flags")), "strong")
         .otherwise("body_variant")
     )
-    level = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.col("size").desc(), "first_seq"))
-    rows = rows.withColumn("kind", kind).withColumn("level", F.least(level, F.lit(DEEPEST)))
-    role = F.when(F.col("kind") == "header", F.concat(F.lit("h"), F.col("level"))).otherwise(F.col("kind"))
-    return rows.select(*STYLE, "n_chars", "first_seq", role.alias("style_role"))
+    level = F.dense_rank().over(Window.partitionBy("doc_id", "_kind").orderBy(F.col("size").desc(), "first_seq"))
+    rows = rows.withColumn("_kind", kind).withColumn("_level", F.least(level, F.lit(DEEPEST)))
+    return rows.withColumn("style_role", F.when(F.col("_kind") == "header", F.concat(F.lit("h"), F.col("_level"))).otherwise(F.col("_kind"))).drop("_kind", "_level")
+
+
+def roles(blocks: DataFrame) -> DataFrame:
+    """The histogram with a role per style: body, h1 to h6 by falling size, footnote_or_small, strong, body_variant.
+
+    Each header style has a level of its own, equal sizes by what comes first.
+    """
+    rows = histogram(blocks)
+    most = F.max(F.struct("n_chars", -F.col("first_seq"), "font_name", "size", "flags")).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("_b", most).withColumns({f"body_{c}": F.col(f"_b.{n}") for c, n in (("font", "font_name"), ("size", "size"), ("flags", "flags"))})
+    return _role(rows).select(*STYLE, "n_chars", "first_seq", "style_role")
+
+
+def with_styles(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with body_size, body_flags and style_role, by windows: one exchange by doc_id, and no join.
+
+    Blocks without a font have the role ``body``.
+    """
+    rows = blocks.repartition("doc_id").withColumn("size", F.round("font_size", 1))
+    style = Window.partitionBy(*STYLE)
+    rows = rows.withColumns({"n_chars": F.sum(F.length(strip(F.col("text")))).over(style), "first_seq": F.min("seq").over(style)})
+    most = F.max(F.struct("n_chars", -F.col("first_seq"), "font_name", "size", "flags")).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("_b", most).withColumns({f"body_{c}": F.col(f"_b.{n}") for c, n in (("font", "font_name"), ("size", "size"), ("flags", "flags"))})
+    rows = _role(rows).withColumns(
+        {
+            "body_size": F.coalesce("body_size", F.lit(DEFAULT_SIZE)),
+            "body_flags": F.coalesce("body_flags", F.lit(DEFAULT_FLAGS)),
+            "style_role": F.when(F.col("font_name").isNull(), "body").otherwise(F.coalesce("style_role", F.lit("body"))),
+        }
+    )
+    return rows.drop("size", "n_chars", "first_seq", "_b", "body_font")
 
 
 #: What fills the sample up behind first, middle and last page, as far as it isn't among them.

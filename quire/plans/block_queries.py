@@ -181,16 +181,16 @@ def paragraphs(spark, sf_dir):
 
 
 def chapter_tree(spark, sf_dir):
-    tree = structure.chapters(checkpointed(roles.classify(_noted(spark, sf_dir))))
+    tree = structure.chapters(roles.classify(_noted(spark, sf_dir)))
     return tree.withColumn("parent_id", F.coalesce("parent_id", F.lit(-1)))  # -1 for those at the top
 
 
 def chapter_text(spark, sf_dir):
-    return structure.chapter_text(checkpointed(roles.classify(_noted(spark, sf_dir))))
+    return structure.chapter_text(roles.classify(_noted(spark, sf_dir)))
 
 
 def heading_counts(spark, sf_dir):
-    return structure.heading_counts(structure.chapters(checkpointed(roles.classify(_noted(spark, sf_dir)))))
+    return structure.heading_counts(structure.chapters(roles.classify(_noted(spark, sf_dir))))
 
 
 def note_pages(spark, sf_dir):
@@ -199,7 +199,7 @@ def note_pages(spark, sf_dir):
 
 
 def note_merge(spark, sf_dir):
-    rows = structure.split_notes(checkpointed(roles.classify(_noted(spark, sf_dir))))
+    rows = structure.split_notes(roles.classify(_noted(spark, sf_dir)))
     return structure.merge_notes(rows.where("part = 'notes' AND NOT by_role")).select("doc_id", "seq", "endnote_num", "text")
 
 
@@ -241,7 +241,7 @@ def note_html(spark, sf_dir):
 
 
 def note_numbers(spark, sf_dir):
-    rows = structure.split_notes(checkpointed(roles.classify(_noted(spark, sf_dir))))
+    rows = structure.split_notes(roles.classify(_noted(spark, sf_dir)))
     found = notes.note_numbers(structure.merge_notes(rows.where("part = 'notes'")))
     return found.select("doc_id", F.array_join("numbers", ",").alias("numbers"))
 
