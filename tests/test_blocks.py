@@ -206,7 +206,7 @@ def test_rendering_and_books(spark):
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         first = book.infolist()[0]
         assert first.filename == "mimetype" and first.compress_type == zipfile.ZIP_STORED
-        assert 'epub:type="endnotes"' in book.read("OEBPS/chapter2.xhtml").decode() and "A &amp; B" in book.read("OEBPS/content.opf").decode()
+        assert 'epub:type="endnotes"' in book.read("book/chapter2.xhtml").decode() and "A &amp; B" in book.read("book/package.opf").decode()
     title, creator, chapters = epub.read_book(data)
     assert (title, creator, len(chapters)) == ("A & B", "C", 2)
     assert data == epub.write_book({"title": "A & B", "author": "C"}, [{"title": r.title, "html": r.html, "is_endnotes": r.is_endnotes} for r in out])
