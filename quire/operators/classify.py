@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import SPACE, is_upper, strip
-from quire.operators.styles import with_styles
+from quire.operators.styles import LARGER, with_styles
 from quire.sources.blocks import is_bold
 
 H1, H2, H3 = 80.0, 65.0, 50.0
@@ -39,9 +39,9 @@ def note_number(text: Column, size: Column, body: Column) -> Column:
     return F.when(n.between(1, 99) & (size <= body + 0.5), n)
 
 
-def heading_scores(blocks: DataFrame) -> DataFrame:
+def heading_scores(blocks: DataFrame, larger: float = LARGER) -> DataFrame:
     """``blocks`` with body_size, body_flags, style_role, score and signals; gaps count on the same page only."""
-    rows = with_styles(blocks)
+    rows = with_styles(blocks, larger)
     order = Window.partitionBy("doc_id").orderBy("seq")
     rows = rows.withColumns({f"_{side}_{c}": f(c).over(order) for side, f in (("prev", F.lag), ("next", F.lead)) for c in ("page", "y0", "y1")})
     text, size, body = strip(F.col("text")), F.col("font_size"), F.col("body_size")
@@ -69,9 +69,9 @@ def heading_scores(blocks: DataFrame) -> DataFrame:
     return rows.drop("_t", "_above", "_below", *[f"_{s}_{c}" for s in ("prev", "next") for c in ("page", "y0", "y1")])
 
 
-def classify(blocks: DataFrame) -> DataFrame:
+def classify(blocks: DataFrame, larger: float = LARGER) -> DataFrame:
     """``blocks`` with body_size, body_flags, score, signals, role and endnote_num."""
-    rows = heading_scores(blocks)
+    rows = heading_scores(blocks, larger)
     score, diff, bold = F.col("score"), F.col("font_size") - F.col("body_size"), is_bold(F.col("flags"))
     role = F.when(score >= H1, "h1").when(score >= H2, "h2").when(score >= H3, "h3").otherwise("body")
     rows = rows.withColumn("role", role)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import io
 from collections.abc import Iterator
 
@@ -50,15 +51,18 @@ def savings(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "doc_id").withColumn("saved_percent", saved)
 
 
+def can_optimize() -> bool:
+    """Whether the optional image library is there."""
+    return importlib.util.find_spec("PIL") is not None
+
+
 def optimize(images: DataFrame, max_width: int = MAX_WIDTH, max_height: int = MAX_HEIGHT, quality: int = 85, convert_png: bool = False) -> DataFrame:
     """``images`` (filename, format, data, …) scaled down to fit and encoded anew; whatever fails stays as it was.
 
     Needs the optional library PIL; raises RuntimeError without it.
     """
-    try:
-        import PIL  # noqa: F401
-    except ImportError:
-        raise RuntimeError("encoding images needs the optional library PIL") from None
+    if not can_optimize():
+        raise RuntimeError("encoding images needs the optional library PIL")
     places = [images.columns.index(c) for c in ("filename", "format", "data")]
     return map_arrow(images, _optimized(places, max_width, max_height, quality, convert_png), images.schema)
 

@@ -86,3 +86,8 @@ def keep_pages(blocks: DataFrame, start: int | None = None, end: int | None = No
 def drop_regions(blocks: DataFrame, height: Column, top: float = 0.0, bottom: float = 1.0) -> DataFrame:
     """Blocks that don't lie in the top or bottom share of their page."""
     return blocks.where((F.col("y1") > height * top) & (F.col("y0") < height * bottom))
+
+
+def drop_margins(blocks: DataFrame, width: Column, left: float = 0.0, right: float = 1.0) -> DataFrame:
+    """Blocks that don't lie in the left or right share of their page."""
+    return blocks.where((F.col("x1") > width * left) & (F.col("x0") < width * right))

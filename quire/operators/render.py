@@ -17,10 +17,27 @@ from quire.runtime import checkpointed
 HEADING_FIRST, HEADING_LAST, CHAPTER_LAST = 2, 6, 3
 
 
-def text_html(text: Column) -> Column:
-    """Plain text as paragraphs: cut at empty lines, other line breaks become blanks."""
+def _paragraphs(text: Column) -> Column:
+    """Non-blank paragraphs of plain text: cut at empty lines, other line breaks become blanks."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda p: strip(F.replace(p, F.lit("\n"), F.lit(" "))))
-    return F.array_join(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(F.lit("    <p>"), escape_html(p), F.lit("</p>"))), "\n")
+    return F.filter(parts, lambda p: p != "")
+
+
+def text_html(text: Column) -> Column:
+    """Plain text as paragraphs."""
+    return F.array_join(F.transform(_paragraphs(text), lambda p: F.concat(F.lit("    <p>"), escape_html(p), F.lit("</p>"))), "\n")
+
+
+def linked_html(texts: DataFrame, notes_file: Column, patterns: Iterable[str] | None = None) -> DataFrame:
+    """(doc_id, html) of texts (doc_id, text, …): ``text_html`` with note references as links, paragraph by paragraph.
+
+    Where ``notes_file`` is null there are no links. Texts without a paragraph, null ones too, have none.
+    """
+    rows = texts.select("doc_id", notes_file.alias("_file"), F.posexplode_outer(_paragraphs(F.col("text"))).alias("seq", "html"))
+    rows = link(rows.withColumn("html", F.when(F.col("html").isNotNull(), escape_html(F.col("html")))), "html", F.col("_file"), patterns or DEFAULT)
+    tagged = F.concat(F.lit("    <p>"), "html", F.lit("</p>"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("html").isNotNull(), F.struct("seq", tagged.alias("h"))))), lambda x: x["h"])
+    return rows.groupBy("doc_id").agg(F.array_join(ordered, "\n").alias("html"))
 
 
 def _tagged(tag: Column, text: Column) -> Column:

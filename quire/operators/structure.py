@@ -267,7 +267,12 @@ def chapter_text(blocks: DataFrame) -> DataFrame:
 
     Depth-first order of the chapter tree is document order, so no recursion is needed.
     """
-    parts = paragraphs(laid_out(blocks), ("doc_id", "chapter_id"))
+    return chapter_text_of(laid_out(blocks))
+
+
+def chapter_text_of(laid: DataFrame) -> DataFrame:
+    """``chapter_text`` of what ``laid_out`` returns."""
+    parts = paragraphs(laid, ("doc_id", "chapter_id"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("chapter_id", "seq", "text"))), lambda x: x["text"])
     return parts.groupBy("doc_id").agg(F.array_join(ordered, "\n\n").alias("text"))
 

@@ -27,12 +27,12 @@ def body_style(blocks: DataFrame) -> DataFrame:
     return per.select("doc_id", F.col("s.font_name").alias("body_font"), F.col("s.size").alias("body_size"), F.col("s.flags").alias("body_flags"))
 
 
-def _role(rows: DataFrame) -> DataFrame:
+def _role(rows: DataFrame, larger: float = LARGER) -> DataFrame:
     """``rows`` (style, n_chars, first_seq, body) with style_role; rows of one style may be many."""
     is_body = (F.col("font_name").eqNullSafe(F.col("body_font"))) & (F.col("size") == F.col("body_size")) & (F.col("flags") == F.col("body_flags"))
     kind = (
         F.when(is_body, "body")
-        .when(F.col("size") > F.col("body_size") * LARGER, "header")
+        .when(F.col("size") > F.col("body_size") * larger, "header")
         .when(F.col("size") < F.col("body_size") * SMALLER, "footnote_or_small")
         .when(is_bold(F.col("flags")), "strong")
         .otherwise("body_variant")
@@ -53,17 +53,17 @@ def roles(blocks: DataFrame) -> DataFrame:
     return _role(rows).select(*STYLE, "n_chars", "first_seq", "style_role")
 
 
-def with_styles(blocks: DataFrame) -> DataFrame:
+def with_styles(blocks: DataFrame, larger: float = LARGER) -> DataFrame:
     """``blocks`` with body_size, body_flags and style_role, by windows: one exchange by doc_id, and no join.
 
-    Blocks without a font have the role ``body``.
+    Styles more than ``larger`` times the body's size are headers. Blocks without a font have the role ``body``.
     """
     rows = blocks.repartition("doc_id").withColumn("size", F.round("font_size", 1))
     style = Window.partitionBy(*STYLE)
     rows = rows.withColumns({"n_chars": F.sum(F.length(strip(F.col("text")))).over(style), "first_seq": F.min("seq").over(style)})
     most = F.max(F.struct("n_chars", -F.col("first_seq"), "font_name", "size", "flags")).over(Window.partitionBy("doc_id"))
     rows = rows.withColumn("_b", most).withColumns({f"body_{c}": F.col(f"_b.{n}") for c, n in (("font", "font_name"), ("size", "size"), ("flags", "flags"))})
-    rows = _role(rows).withColumns(
+    rows = _role(rows, larger).withColumns(
         {
             "body_size": F.coalesce("body_size", F.lit(DEFAULT_SIZE)),
             "body_flags": F.coalesce("body_flags", F.lit(DEFAULT_FLAGS)),

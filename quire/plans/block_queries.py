@@ -246,9 +246,9 @@ def note_numbers(spark, sf_dir):
     return found.select("doc_id", F.array_join("numbers", ",").alias("numbers"))
 
 
-def _rendered(spark, sf_dir):
+def _rendered(spark, sf_dir, lines=None):
     """A chapter of references to notes 1 to 9 and a chapter of notes 1 to 12, a line's each; some don't meet."""
-    lines = _blocks(spark, sf_dir)
+    lines = _blocks(spark, sf_dir) if lines is None else lines
     link = F.concat(F.lit('<a href="chapter2.xhtml#note'), F.col("seq") % 9 + 1, F.lit('">x</a>'))
     note = F.concat(F.lit('<p class="endnote" id="note'), F.col("seq") % 12 + 1, F.lit('">n</p>'))
 
@@ -318,19 +318,41 @@ def book_round_trip(spark, sf_dir):
 
 
 def conversion_report(spark, sf_dir):
-    rows = checkpointed(roles.classify(_noted(spark, sf_dir)))
-    texts = structure.chapter_text(rows)
-    stats = validate.conversion_stats(_docs(spark, sf_dir), texts, structure.chapters(rows), notes.link_stats(_rendered(spark, sf_dir)))
+    """With none to three images a document, of which the third has a format that no book can have."""
+    laid = checkpointed(structure.laid_out(roles.classify(_noted(spark, sf_dir))))
+    pictures = _images(spark, sf_dir).where("image_no <= doc_id % 4")
+    counts = [df.groupBy("doc_id").agg(F.count("*").alias("n")) for df in (pictures, images.name_images(pictures))]
+    stats = validate.conversion_stats(_docs(spark, sf_dir), structure.chapter_text_of(laid), structure.chapters_of(laid), notes.link_stats(_rendered(spark, sf_dir, _noted(spark, sf_dir))), *counts)
     return validate.summary_text(stats)
 
 
+def text_html_notes(spark, sf_dir):
+    """Plain text as paragraphs, with links to the notes of documents of even ids."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" [3] end. 7\n\n")).alias("text"))
+    return render.linked_html(rows.withColumn("file", F.when(F.col("doc_id") % 2 == 0, "notes.xhtml")), F.col("file"))
+
+
+def image_formats(spark, sf_dir):
+    """Target formats of images with and without transparency."""
+    kind = F.element_at(F.array(*map(F.lit, ("png", "JPEG", "gif", "bmp"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    clear = F.col("p_size") % 2 == 0
+    return table(spark, sf_dir, "part").select("p_partkey", images.target_format(kind, clear).alias("kept"), images.target_format(kind, clear, True).alias("converted"))
+
+
+def image_savings(spark, sf_dir):
+    """Bytes before and after, of files that lose a third of their text."""
+    rows = _docs(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 50)
+    after = rows.withColumn("data", F.encode(F.substring("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 3).cast("int")), "UTF-8"))
+    return images.savings(rows.withColumn("data", F.encode("text", "UTF-8")), after)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         derived_blocks, structural_blocks, page_text, scan_blocks, scanned_text, noise_lines, noise_strip, header_footer, page_filters, y_sort, xy_cut, side_blocks, style_histogram, body_style, style_roles,
         layout_profile, heading_score, block_roles, merge_headers, paragraphs, chapter_tree, chapter_text, heading_counts, note_pages, note_merge, note_refs, note_patterns, note_tags, note_style,
         note_hyperlinks, note_html, note_numbers, note_links, image_names, image_sizes, image_sequence, nearest_block, page_images, render_order, figure_links, text_html,
-        rendered_chapters, book_round_trip, conversion_report,
+        rendered_chapters, book_round_trip, conversion_report, text_html_notes, image_formats, image_savings,
     )
 }
 
@@ -590,6 +612,12 @@ ORACLES = {
     "figure_links": f"""WITH {derive_sql("' see Fig. ' || (i % 5 + 1)")} SELECT doc_id, seq, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\b(Fig(?:ure)?\\.?)\\s*0*1\\b', '<a href="#img-1" class="figure-ref">\\1 1</a>', 'g'),
       '(?i)\\b(Fig(?:ure)?\\.?)\\s*0*2\\b', '<a href="chapter2.xhtml#img-2" class="figure-ref">\\1 2</a>', 'g'), '(?i)\\b(Fig(?:ure)?\\.?)\\s*0*3\\b', '<a href="chapter3.xhtml#img-3" class="figure-ref">\\1 3</a>', 'g') AS text FROM blocks""",
     "text_html": f"""SELECT doc_id, array_to_string([('    <p>' || {_escaped_sql('trim(x)')} || '</p>') FOR x IN string_split(text, chr(10)) IF trim(x) <> ''], chr(10)) AS html FROM documents""",
+    "text_html_notes": f"""WITH p AS (SELECT doc_id, k, {_escaped_sql('trim(x)')} AS esc FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(replace(text, chr(10), ' [3] end. 7' || chr(10)), chr(10)) AS l FROM documents)) WHERE trim(x) <> ''),
+      {_refs_sql("p", "esc", notes.DEFAULT, "rf")} SELECT doc_id, string_agg('    <p>' || CASE WHEN doc_id % 2 = 0 THEN {_linked_sql("esc", "'notes.xhtml'")} ELSE esc END || '</p>', chr(10) ORDER BY k) AS html FROM rf GROUP BY 1""",
+    "image_formats": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'png' WHEN 2 THEN 'gif' ELSE 'jpeg' END AS kept,
+      CASE WHEN p_partkey % 4 = 0 AND p_size % 2 = 0 THEN 'png' WHEN p_partkey % 4 = 2 THEN 'gif' ELSE 'jpeg' END AS converted FROM part""",
+    "image_savings": """SELECT doc_id, b AS bytes_before, a AS bytes_after, (b - a) * 100.0::DOUBLE / b AS saved_percent FROM (
+      SELECT doc_id % 50 AS doc_id, sum(strlen(text))::BIGINT AS b, sum(strlen(substr(text, 1, length(text) - length(text) // 3)))::BIGINT AS a FROM documents GROUP BY 1)""",
     "rendered_chapters": f"WITH {_rendered_sql(True)} SELECT * FROM rd",
     "book_round_trip": f"""WITH {_rendered_sql(False)},
       pg AS (SELECT doc_id, chapter_no, {CANONICAL.format(TAGLESS.format("'<title>' || " + _escaped_sql("title") + " || '</title><h1>' || " + _escaped_sql("title") + " || '</h1>' || html"))} AS text FROM rd)
@@ -599,8 +627,10 @@ ORACLES = {
       st AS (SELECT doc_id, len(regexp_extract_all(source, '\\S+')) AS sw, coalesce(len(regexp_extract_all(target, '\\S+')), 0) AS tw FROM sz),
       hc AS (SELECT doc_id, count(*) AS headings, count(*) FILTER (parent_id IS NULL) AS chapters, coalesce(sum(n_blocks) FILTER (is_endnotes), 0)::BIGINT AS notes FROM ev GROUP BY 1)
       SELECT doc_id, format('Words: {{:,}} of {{:,}} ({{:.1f}}%)', tw, sw, CASE WHEN sw > 0 THEN tw * 100.0 / sw ELSE 0 END::DOUBLE) || chr(10) || 'Chapters: ' || coalesce(chapters, 0) || ', headings: ' || coalesce(headings, 0) || ', notes: ' || coalesce(notes, 0) || chr(10)
-        || format('Completeness: {{:.1f}}%, order: {{:.1f}}%', coalesce(completeness, 0), coalesce(order_score, 0)) || chr(10) || CASE WHEN coalesce(completeness, 0) >= 95 AND coalesce(order_score, 0) >= 80 THEN 'PASS' ELSE 'FAIL' END AS report
-      FROM st LEFT JOIN hc USING (doc_id) LEFT JOIN verdicts USING (doc_id)""",
+        || 'Images: ' || least(doc_id % 4, 2) || ' of ' || least(doc_id % 4, 3) || chr(10) || format('Completeness: {{:.1f}}%, order: {{:.1f}}%', coalesce(completeness, 0), coalesce(order_score, 0)) || chr(10)
+        || CASE WHEN coalesce(n_linked, 0) < coalesce(n_notes, 0) THEN 'ALERT: ' || n_linked || ' of ' || n_notes || ' notes are linked' || chr(10) ELSE '' END
+        || CASE WHEN coalesce(completeness, 0) >= 95 AND coalesce(order_score, 0) >= 80 AND doc_id % 4 < 3 THEN 'PASS' ELSE 'NEEDS REVIEW' END AS report
+      FROM st LEFT JOIN hc USING (doc_id) LEFT JOIN verdicts USING (doc_id) LEFT JOIN ls USING (doc_id)""",
     "note_pages": f"""WITH {_B}, s AS (SELECT doc_id, page, count(*) AS n FROM blocks WHERE page >= 2 AND seq % 3 = 0 GROUP BY 1, 2),
       g AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page DESC) - page - 1 AS gap FROM s), f AS (SELECT *, sum(CASE WHEN gap > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page DESC) AS far FROM g),
       r AS (SELECT doc_id, min(page) AS first_page, max(page) AS ls FROM f WHERE far = 0 GROUP BY 1 HAVING sum(n) >= 5 AND count(*) >= 2)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import canonicalize, strip
-from quire.operators import noise, render, structure
+from quire.operators import images, noise, render, structure
 from quire.operators.classify import classify
+from quire.operators.notes import link_stats
 from quire.operators.order import number_images, order_blocks
+from quire.plans import validate
 from quire.sources import blocks as source
 from quire.sources.config import Config
 from quire.sources.epub import books
@@ -53,12 +55,25 @@ def full_text(spans: DataFrame) -> DataFrame:
     return scan_pages(spans).groupBy("doc_id").agg(F.array_join(pages, "\n\n").alias("text"))
 
 
+def _without_edges(blocks: DataFrame, config: Config) -> DataFrame:
+    """Blocks outside the excluded shares of their pages, as page_height and page_width tell; an error where those are needed and missing."""
+    edges = config.exclude_regions
+    for name, low, high, drop in (("page_height", edges.top, edges.bottom, noise.drop_regions), ("page_width", edges.left, edges.right, noise.drop_margins)):
+        if low or high:
+            if name not in blocks.columns:
+                raise ValueError(f"exclude_regions needs blocks with a column {name}")
+            blocks = drop(blocks, F.col(name), low, 1 - high)
+    return blocks
+
+
 def prepared(blocks: DataFrame, config: Config) -> DataFrame:
     """Configured pages and regions, in reading order, with roles."""
     pages = config.page_ranges
     if pages.start is not None or pages.end is not None or pages.skip:
         blocks = noise.keep_pages(blocks, pages.start, pages.end, pages.skip)
-    return classify(order_blocks(blocks, config.reading_order_strategy).drop("confidence"))
+    columns = config.multi_column.enabled and config.multi_column.column_count > 1
+    order = "xy_cut" if columns and config.reading_order_strategy == Config.reading_order_strategy else config.reading_order_strategy
+    return classify(order_blocks(_without_edges(blocks, config), order).drop("confidence"), config.heading_detection.font_size_threshold)
 
 
 def simple(blocks: DataFrame, config: Config) -> DataFrame:
@@ -68,11 +83,21 @@ def simple(blocks: DataFrame, config: Config) -> DataFrame:
 STRATEGIES["simple"] = simple
 
 
+def optimized(pictures: DataFrame, config: Config) -> DataFrame:
+    """Named images, scaled and encoded as configured, where they have data and an image library is there; else as they are."""
+    own = config.image_optimization
+    if not own.enabled or "data" not in pictures.columns or not images.can_optimize():
+        return pictures
+    return images.optimize(pictures, own.max_width, own.max_height, own.jpeg_quality, own.convert_png_to_jpeg)
+
+
 def convert(blocks: DataFrame, config: Config | None = None, images: DataFrame | None = None) -> DataFrame:
     """Rendered chapters of a block table; see ``render.render_chapters``."""
     config = config or Config()
     rows = STRATEGIES[config.strategy](blocks, config)
-    return render.render_chapters(rows, number_images(images) if images is not None else None, config.footnote_processing.patterns)
+    notes = config.footnote_processing
+    back_to = "chapter1.xhtml" if notes.generate_backlinks else None
+    return render.render_chapters(rows, number_images(images) if images is not None else None, notes.patterns, notes.enabled, back_to)
 
 
 def text_of(blocks: DataFrame, config: Config | None = None) -> DataFrame:
@@ -101,6 +126,22 @@ def metadata(documents: DataFrame, config: Config | None = None) -> DataFrame:
     )
 
 
-def to_books(blocks: DataFrame, documents: DataFrame, config: Config | None = None) -> DataFrame:
-    """(doc_id, epub) of a block table and its documents' metadata."""
-    return books(convert(blocks, config), metadata(documents, config))
+def to_books(blocks: DataFrame, documents: DataFrame, config: Config | None = None, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, epub) of a block table, its documents' metadata, and named images with data."""
+    config = config or Config()
+    if images is None:
+        return books(convert(blocks, config), metadata(documents, config))
+    pictures = optimized(images, config)
+    return books(convert(blocks, config, pictures), metadata(documents, config), number_images(pictures))
+
+
+def reported(blocks: DataFrame, config: Config | None = None, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, report): how the text of a block table comes through the conversion."""
+    config = config or Config()
+    rows = STRATEGIES[config.strategy](blocks, config)
+    laid = structure.laid_out(rows)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("page", "seq", "text"))), lambda x: x["text"])
+    own = blocks.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
+    rendered = convert(blocks, config, images)
+    counts = (None, None) if images is None else (images.groupBy("doc_id").agg(F.count("*").alias("n")), validate.images_in(rendered))
+    return validate.summary_text(validate.conversion_stats(own, structure.chapter_text_of(laid), structure.chapters_of(laid), link_stats(rendered), *counts))

@@ -61,11 +61,17 @@ def validate(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return good.unionByName(wrong, allowMissingColumns=True)
 
 
-def conversion_stats(sources: DataFrame, targets: DataFrame, chapters: DataFrame, links: DataFrame) -> DataFrame:
-    """One wide row per document: words and characters of both sides, shares kept, chapters, notes and links, scores.
+def images_in(rendered: DataFrame) -> DataFrame:
+    """(doc_id, n): the pictures of rendered chapters."""
+    return rendered.groupBy("doc_id").agg(F.sum(F.regexp_count("html", F.lit('<figure class="chapter-image"'))).cast("long").alias("n"))
+
+
+def conversion_stats(sources: DataFrame, targets: DataFrame, chapters: DataFrame, links: DataFrame, found: DataFrame | None = None, kept: DataFrame | None = None) -> DataFrame:
+    """One wide row per document: words and characters of both sides, shares kept, chapters, notes and links, images, scores.
 
     ``sources`` and ``targets`` have doc_id and text; ``chapters`` and ``links`` are the tables of
-    ``structure.chapters`` and ``notes.link_stats``. Documents without a target have zeros.
+    ``structure.chapters`` and ``notes.link_stats``; ``found`` and ``kept`` (doc_id, n) count the
+    images of both sides. Documents without a target have zeros.
     """
 
     def counts(df: DataFrame, side: str) -> DataFrame:
@@ -76,8 +82,10 @@ def conversion_stats(sources: DataFrame, targets: DataFrame, chapters: DataFrame
     both = counts(sources, "source").join(counts(targets, "target"), "doc_id", "left")
     scores = fidelity.scores(both.where("target IS NOT NULL").select("doc_id", "source", "target")).select("doc_id", "completeness", "order_score")
     rows = both.drop("source", "target")
-    for part in (heads, notes, links, scores):
+    pictures = [df.select("doc_id", F.col("n").cast("long").alias(name)) for df, name in ((found, "source_images"), (kept, "target_images")) if df is not None]
+    for part in (heads, notes, links, scores, *pictures):
         rows = rows.join(part, "doc_id", "left")
+    rows = rows.withColumns({name: F.lit(0).cast("long") for name in ("source_images", "target_images") if name not in rows.columns})
     rows = rows.na.fill(0)
     for unit in ("words", "chars"):
         kept = F.when(F.col(f"source_{unit}") > 0, F.col(f"target_{unit}") * 100.0 / F.greatest(f"source_{unit}", F.lit(1))).otherwise(0.0)
@@ -86,18 +94,21 @@ def conversion_stats(sources: DataFrame, targets: DataFrame, chapters: DataFrame
 
 
 def summary_text(stats: DataFrame) -> DataFrame:
-    """(doc_id, report): statistics as lines of text, with a verdict."""
-    passed = (F.col("completeness") >= fidelity.PASS_COMPLETENESS) & (F.col("order_score") >= fidelity.PASS_ORDER)
+    """(doc_id, report): statistics as lines of text, an alert for notes without links, and a verdict; all images must be there."""
+    passed = (F.col("completeness") >= fidelity.PASS_COMPLETENESS) & (F.col("order_score") >= fidelity.PASS_ORDER) & (F.col("target_images") >= F.col("source_images"))
     line = F.format_string(
-        "Words: %s of %s (%.1f%%)\nChapters: %d, headings: %d, notes: %d\nCompleteness: %.1f%%, order: %.1f%%\n%s",
+        "Words: %s of %s (%.1f%%)\nChapters: %d, headings: %d, notes: %d\nImages: %d of %d\nCompleteness: %.1f%%, order: %.1f%%\n%s%s",
         F.format_number("target_words", 0),
         F.format_number("source_words", 0),
         F.bround("words_kept", 1),
         "chapters",
         "headings",
         "notes",
+        "target_images",
+        "source_images",
         F.bround("completeness", 1),
         F.bround("order_score", 1),
-        F.when(passed, "PASS").otherwise("FAIL"),
+        F.when(F.col("n_linked") < F.col("n_notes"), F.format_string("ALERT: %d of %d notes are linked\n", "n_linked", "n_notes")).otherwise(""),
+        F.when(passed, "PASS").otherwise("NEEDS REVIEW"),
     )
     return stats.select("doc_id", line.alias("report"))

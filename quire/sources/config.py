@@ -18,12 +18,18 @@ class PageRanges:
 
 @dataclass(frozen=True)
 class ExcludeRegions:
+    """Shares of the page at its edges whose blocks are left out."""
+
     top: float = 0.0
     bottom: float = 0.0
+    left: float = 0.0
+    right: float = 0.0
 
 
 @dataclass(frozen=True)
 class MultiColumn:
+    """Pages of several columns are ordered by cuts, unless an order is named."""
+
     enabled: bool = False
     column_count: int = 1
 
@@ -35,6 +41,8 @@ class Headings:
 
 @dataclass(frozen=True)
 class Footnotes:
+    """References become links unless that is off; notes link back to the first chapter if wanted."""
+
     enabled: bool = True
     generate_backlinks: bool = False
     patterns: tuple[str, ...] | None = None
@@ -71,8 +79,11 @@ class Config:
     def __post_init__(self) -> None:
         if self.reading_order_strategy not in ORDERS:
             raise ValueError(f"reading_order_strategy must be one of {ORDERS}")
-        if not (0 <= self.exclude_regions.top <= 1 and 0 <= self.exclude_regions.bottom <= 1):
+        edges = self.exclude_regions
+        if not all(0 <= x <= 1 for x in (edges.top, edges.bottom, edges.left, edges.right)):
             raise ValueError("exclude_regions must lie between 0 and 1")
+        if self.multi_column.column_count < 1 or self.heading_detection.font_size_threshold <= 0:
+            raise ValueError("column_count and font_size_threshold must be positive")
 
 
 def merged(base: dict, over: dict) -> dict:

@@ -87,6 +87,27 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(files, _read, CHAPTERS)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_folder_of_books(spark: SparkSession, path: str) -> bool:
+    """Whether a folder, wherever Spark can read it, holds EPUB files."""
+    place, files = _place(spark, path)
+    return files.exists(place) and any(f.getPath().getName().endswith(".epub") for f in files.listStatus(place))
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Bytes as a file, wherever Spark can write."""
+    place, files = _place(spark, path)
+    out = files.create(place, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -83,3 +83,32 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
         raise RuntimeError("reading PDF files needs the optional library fitz")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return map_arrow(files, _spans, COLUMNS)
+
+DOCUMENTS = "path string, error string, page_count int, title string, author string, subject string, keywords string, creator string, producer string, created string, modified string"
+_FIELDS = ("title", "author", "subject", "keywords", "creator", "producer", "creationDate", "modDate")
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import fitz
+
+    types = [_KINDS[c.split()[1]] for c in DOCUMENTS.split(", ")]
+    for batch in batches:
+        rows = []
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                with fitz.open(stream=data, filetype="pdf") as document:
+                    if document.is_encrypted:
+                        raise RuntimeError("the file is encrypted")
+                    own = document.metadata or {}
+                    rows.append((path, None, document.page_count, *[own.get(f) or None for f in _FIELDS]))
+            except Exception as e:  # one broken file must not end the job; it becomes a row with its error
+                rows.append((path, f"{type(e).__name__}: {e}", *[None] * (len(types) - 2)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], [c.split()[0] for c in DOCUMENTS.split(", ")])
+
+
+def read_pdf_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row per PDF file: its number of pages and its own metadata. Raises RuntimeError if no PDF library is installed."""
+    if not available():
+        raise RuntimeError("reading PDF files needs the optional library fitz")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return map_arrow(files, _documents, DOCUMENTS)
