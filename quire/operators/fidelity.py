@@ -2,16 +2,25 @@
 
 The source is cut into overlapping chunks; each is looked for in the target from a cursor on,
 exactly and then by its words; the share found is the completeness, and the longest increasing
-run of positions is the order. All of it is one fold per document over an array of chunks, so a
+run of positions is the order. The search needs places in long texts, which strings in the JVM
+count from their start, so it is done over Arrow batches, in time that grows with the texts. A
 document's texts stay in one row, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import comparison_form, normalize_whitespace, snippet, strip, tokens
+from quire.runtime import map_arrow
 
 CHUNK, OVERLAP = 600, 100
 WINDOW = 10_000
@@ -22,120 +31,190 @@ PASS_COMPLETENESS, PASS_ORDER = 95.0, 80.0
 _CHUNK = "struct<chunk_no:int,start_index:int,end_index:int,text:string,is_partial:boolean>"
 
 
+#: Chunks of a block, which is cut out of the text first.
+_BLOCK = 64
+#: Targets from this length on get an index of what they hold, so that a miss needs no search.
+_LONG, _GRAM = 1 << 16, 16
+_WORD = re.compile(r"\w{4,}")
+_FOUND = pa.struct([("chunk", pa.struct([("chunk_no", pa.int32()), ("start_index", pa.int32()), ("end_index", pa.int32()), ("text", pa.string()), ("is_partial", pa.bool_())])), ("pos", pa.int32()), ("kind", pa.string())])
+#: Rows that go on at once.
+_ROWS = 256
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)``, the value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
+def _step(size: int, overlap: int) -> int:
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than the chunk size")
+    return size - overlap
+
+
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Array of chunks of the whitespace-normalised text; offsets from 0, the last chunk ends at the text's end.
 
     Empty and null texts have none. Raises ValueError if the overlap isn't smaller than the size.
+    A text is cut into blocks of chunks first, since a place in a text is found by counting from its start.
     """
-    if overlap >= size:
-        raise ValueError("overlap must be smaller than the chunk size")
-    step = size - overlap
+    step = _step(size, overlap)
 
     def cut(t: Column) -> Column:
         n = F.length(t)
         last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-        return F.when(
-            n > 0,
-            F.transform(
-                F.sequence(F.lit(0), last),
-                lambda k: F.struct(
-                    k.alias("chunk_no"),
-                    (k * step).alias("start_index"),
-                    F.least(k * step + size, n).alias("end_index"),
-                    F.substring(t, k * step + 1, F.lit(size)).alias("text"),
-                    (n - k * step < size).alias("is_partial"),
-                ),
-            ),
-        ).otherwise(F.array().cast(f"array<{_CHUNK}>"))
-
-    return _let(normalize_whitespace(text), cut)
-
 
-def segment(df: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per chunk: ``keep``, chunk_no, start_index, end_index, text, is_partial."""
-    return df.select(*keep, F.inline(chunks(F.col(text), size, overlap)))
+        def block(b: Column) -> Column:
+            part = F.substring(t, b * (_BLOCK * step) + 1, F.lit(_BLOCK * step + overlap))
 
+            def one(p: Column, j: Column) -> Column:
+                k = b * _BLOCK + j
+                return F.struct(
+                    k.alias("chunk_no"), (k * step).alias("start_index"), F.least(k * step + size, n).alias("end_index"), F.substring(p, j * step + 1, F.lit(size)).alias("text"), (n - k * step < size).alias("is_partial")
+                )
 
-def exact_positions(source: Column, target: Column) -> Column:
-    """Positions from 0 (or -1) of chunk texts in the target, by a cursor that moves behind every hit.
+            return _let(part, lambda p: F.transform(F.sequence(F.lit(0), F.least(F.lit(_BLOCK - 1), last - b * _BLOCK)), lambda j: one(p, j)))
 
-    A chunk is looked for behind the cursor, then from the start; so the cursor may move back.
-    """
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.floor(last / _BLOCK).cast("int")), block))).otherwise(F.array().cast(f"array<{_CHUNK}>"))
 
-    def step(acc: Column, c: Column) -> Column:
-        ahead = F.position(c, target, acc["cur"] + 1)
-        return _let(
-            F.when(ahead > 0, ahead).otherwise(F.position(c, target, F.lit(1))) - 1,
-            lambda p: F.struct(F.when(p >= 0, p + F.length(c)).otherwise(acc["cur"]).alias("cur"), F.concat(acc["out"], F.array(p)).alias("out")),
-        )
-
-    start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(source, start, step, lambda acc: acc["out"])
-
-
-def matches(source: Column, target: Column, threshold: float = FUZZY, window: int = WINDOW) -> Column:
-    """Array of (pos, kind) for chunk texts: exact as above, else fuzzy, else pos -1 and kind missing.
-
-    Fuzzy: the share of the chunk's words that stand in a window behind the cursor, or in the whole
-    target where that window is shorter than the chunk. Its position is that of the first word
-    found, and the cursor stays.
-    """
-
-    def step(acc: Column, c: Column) -> Column:
-        cur = acc["cur"]
-        ahead = F.position(c, target, cur + 1)
-        exact = F.when(ahead > 0, ahead).otherwise(F.position(c, target, F.lit(1))) - 1
-
-        def fuzzy(win: Column) -> Column:
-            words = tokens(c)
-            found = F.filter(words, lambda t: F.position(t, win["text"]) > 0)
-            near = (F.size(words) > 0) & (F.size(found) >= threshold * F.size(words))
-            return F.when(near, win["at"] + F.position(found[0], win["text"]) - 1).otherwise(-1)
-
-        part = F.substring(target, cur + 1, F.lit(window))
-        whole = (cur + F.length(c) > F.length(target)) | (F.length(part) < F.length(c))
-        win = F.struct(F.when(whole, target).otherwise(part).alias("text"), F.when(whole, 0).otherwise(cur).alias("at"))
-
-        def decide(p: Column) -> Column:
-            hit = F.struct((p + F.length(c)).alias("cur"), F.concat(acc["out"], F.array(F.struct(p.alias("pos"), F.lit("exact").alias("kind")))).alias("out"))
+    return _let(normalize_whitespace(text), cut)
 
-            def miss(q: Column) -> Column:
-                kind = F.when(q >= 0, "fuzzy").otherwise("missing")
-                return F.struct(cur.alias("cur"), F.concat(acc["out"], F.array(F.struct(q.alias("pos"), kind.alias("kind")))).alias("out"))
 
-            return F.when(p >= 0, hit).otherwise(_let(_let(win, fuzzy), miss))
+def segment(df: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per chunk: ``keep``, chunk_no, start_index, end_index, text, is_partial."""
+    return df.select(*keep, F.inline(chunks(F.col(text), size, overlap)))
 
-        return _let(exact, decide)
 
-    start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<struct<pos:int,kind:string>>").alias("out"))
-    return F.aggregate(source, start, step, lambda acc: acc["out"])
+def _rolled(text: str, n: int) -> np.ndarray:
+    """A hash of every ``n`` characters in a row."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    out = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)]
+    return out
+
+
+class _Target:
+    """A text to look things up in."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.grams: dict[int, np.ndarray] = {}
+        self.first: dict[str, int] = {}
+
+    def _may_hold(self, part: str, n: int) -> bool:
+        """False only if some ``n`` characters of ``part`` aren't in the text."""
+        if len(self.text) < _LONG or len(part) < n:
+            return True
+        if n not in self.grams:
+            self.grams[n] = np.unique(_rolled(self.text, n))
+        known, asked = self.grams[n], _rolled(part, n)
+        return bool((known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked).all())
+
+    def find(self, chunk: str, cursor: int) -> int:
+        """The chunk's place behind the cursor, or else from the start; -1 if there is none."""
+        if not self._may_hold(chunk, _GRAM):
+            return -1
+        ahead = self.text.find(chunk, cursor)
+        return ahead if ahead >= 0 else self.text.find(chunk)
+
+    def anywhere(self, word: str) -> int:
+        if word not in self.first:
+            self.first[word] = self.text.find(word) if self._may_hold(word, 4) else -1
+        return self.first[word]
+
+    def near(self, chunk: str, cursor: int, threshold: float, window: int) -> int:
+        """The place of the first word found, if enough of the chunk's words stand behind the cursor; else -1."""
+        words = _WORD.findall(chunk)
+        if not words:
+            return -1
+        part = self.text[cursor : cursor + window]
+        if cursor + len(chunk) > len(self.text) or len(part) < len(chunk):
+            places = [self.anywhere(w) for w in words]
+        else:
+            places = [p + cursor if p >= 0 else -1 for p in map(part.find, words)]
+        found = [p for p in places if p >= 0]
+        return found[0] if len(found) >= threshold * len(words) and found else -1
+
+
+def _matched(size: int, step: int, threshold: float, window: int):
+    def match(source: str, target: str) -> list[tuple[int, str]]:
+        known, cursor, out = _Target(target), 0, []
+        for at in _starts(len(source), size, step):
+            chunk = source[at : at + size]
+            place = known.find(chunk, cursor)
+            if place >= 0:
+                out.append((place, "exact"))
+                cursor = place + len(chunk)
+            else:
+                place = known.near(chunk, cursor, threshold, window) if threshold <= 1 else -1
+                out.append((place, "fuzzy" if place >= 0 else "missing"))
+        return out
+
+    return match
+
+
+def _starts(n: int, size: int, step: int) -> range:
+    return range(0, max(0, -(-(n - size) // step)) * step + 1, step) if n else range(0)
+
+
+def _matches(size: int, step: int, threshold: float, window: int):
+    """Batches of (doc_id, source, target), both normalised, with ``found``."""
+    match = _matched(size, step, threshold, window)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                ends, rows = [0], []
+                for source, target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    n = len(source)
+                    for k, (pos, kind) in enumerate(match(source, target)):
+                        at = k * step
+                        rows.append((k, at, min(at + size, n), source[at : at + size], n - at < size, pos, kind))
+                    ends.append(len(rows))
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = [f.type for f in _FOUND.field("chunk").type]
+                chunk = pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns[:5], kinds, strict=True)], fields=list(_FOUND.field("chunk").type))
+                values = pa.StructArray.from_arrays([chunk, pa.array(columns[5], type=pa.int32()), pa.array(columns[6], type=pa.string())], fields=list(_FOUND))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)], ["doc_id", "target", "found"])
+
+    return found
+
+
+def _lis(values) -> int:
+    """``tails[k]`` is the smallest last value of an increasing run of k + 1."""
+    tails: list[int] = []
+    for v in values:
+        k = bisect.bisect_left(tails, v)
+        tails[k : k + 1] = [v]
+    return len(tails)
 
 
 def lis_length(values: Column) -> Column:
-    """Length of the longest strictly increasing subsequence of an array (0 for an empty one).
+    """Length of the longest strictly increasing subsequence of an array (0 for an empty one), by binary search."""
 
-    ``tails[k]`` is the smallest last value of a run of k + 1; a value replaces the first tail
-    that isn't smaller.
-    """
+    @F.pandas_udf("int")
+    def length(arrays: pd.Series) -> pd.Series:
+        return arrays.map(_lis, na_action="ignore")
 
-    def step(tails: Column, x: Column) -> Column:
-        smaller = F.size(F.filter(tails, lambda t: t < x))
-        return F.concat(F.slice(tails, 1, smaller), F.array(x), F.slice(tails, smaller + 2, F.greatest(F.size(tails) - smaller - 1, F.lit(0))))
+    return length(values)
 
-    return F.size(F.aggregate(values, F.array().cast("array<int>"), step))
 
+def match_table(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, threshold: float = FUZZY, window: int = WINDOW) -> DataFrame:
+    """doc_id, target (normalised) and ``found`` of pairs (doc_id, source, target): an array of (chunk, pos, kind).
 
-def match_table(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``pairs`` (doc_id, source, target) with ``found``, an array of (chunk, pos, kind)."""
-    both = pairs.select("doc_id", chunks(F.col("source"), size, overlap).alias("chunks"), normalize_whitespace(F.col("target")).alias("target"))
-    hits = matches(F.transform("chunks", lambda c: c["text"]), F.col("target"))
-    both = both.withColumn("hits", hits)
-    return both.select("doc_id", "target", F.zip_with("chunks", "hits", lambda c, h: F.struct(c.alias("chunk"), h["pos"].alias("pos"), h["kind"].alias("kind"))).alias("found"))
+    A chunk is looked for behind a cursor, then from the start; the cursor moves behind every exact
+    hit, so it may move back. Else fuzzy: the share of the chunk's words that stand in a window
+    behind the cursor, or in the whole target where that window is shorter than the chunk; the
+    position is that of the first word found, and the cursor stays. Else pos is -1, kind missing.
+    A ``threshold`` above 1 leaves the fuzzy search out.
+    """
+    step = _step(size, overlap)
+    both = pairs.select("doc_id", normalize_whitespace(F.col("source")).alias("source"), normalize_whitespace(F.col("target")).alias("target"))
+    kind = both.schema["doc_id"].dataType.simpleString()
+    return map_arrow(both, _matches(size, step, threshold, window), f"doc_id {kind}, target string, found array<struct<chunk:{_CHUNK},pos:int,kind:string>>")
 
 
 def scores(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, significant: int = SIGNIFICANT) -> DataFrame:
@@ -164,8 +243,8 @@ def scores(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, signific
 
 def exact_scores(pairs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_chunks, n_found, lis, completeness and order_score by exact matches alone."""
-    both = pairs.select("doc_id", F.transform(chunks(F.col("source"), size, overlap), lambda c: c["text"]).alias("chunks"), normalize_whitespace(F.col("target")).alias("target"))
-    both = both.select("doc_id", F.size("chunks").alias("n_chunks"), F.filter(exact_positions(F.col("chunks"), F.col("target")), lambda p: p >= 0).alias("hits"))
+    hits = F.transform(F.filter("found", lambda f: f["pos"] >= 0), lambda f: f["pos"]).alias("hits")
+    both = match_table(pairs, size, overlap, 2.0).select("doc_id", F.size("found").alias("n_chunks"), hits)
     both = both.select("doc_id", "n_chunks", F.size("hits").alias("n_found"), lis_length(F.col("hits")).alias("lis"))
     complete = F.when(F.col("n_chunks") == 0, 100.0).otherwise(F.col("n_found") * 100.0 / F.greatest("n_chunks", F.lit(1)))
     order = F.when(F.col("n_found") == 0, 100.0).otherwise(F.col("lis") * 100.0 / F.greatest("n_found", F.lit(1)))

@@ -1,6 +1,7 @@
 import bisect
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,37 @@ def test_matches_against_a_loop(spark):
         assert got[k] == _expected(source, target, 60, 10), k
 
 
+def test_long_targets_give_the_same(monkeypatch):
+    """With an index of what a target holds, and without."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    source = " ".join(rng.choice(words) for _ in range(3000))
+    source = source[:4500] + " ".join(f"only{k}here" for k in range(40)) + source[4500:]
+    target = " ".join(w if rng.random() < 0.97 else "zz" + w for w in source[5000:].split()) + " " + source[:4000]
+    plain = fidelity._matched(60, 50, 0.85, 10_000)(source, target)
+    monkeypatch.setattr(fidelity, "_LONG", 1)
+    assert fidelity._matched(60, 50, 0.85, 10_000)(source, target) == plain == _expected(source, target, 60, 10)
+    assert {k for _, k in plain} == {"exact", "fuzzy", "missing"}
+
+
+@pytest.mark.parametrize("damage", [lambda t: t[len(t) // 2 :] + " " + t[: len(t) // 2], lambda t: t.replace("a", "o"), lambda t: t[: len(t) // 20]])
+def test_search_takes_linear_time(damage):
+    rng = random.Random(8)
+    took = []
+    for n in (250_000, 500_000, 1_000_000):
+        text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 10))) for _ in range(n // 7))
+        start = time.monotonic()
+        fidelity._matched(600, 500, 0.85, 10_000)(text, damage(text))
+        took.append(time.monotonic() - start)
+    assert took[2] < 2.5 * took[1] + 0.5 and took[1] < 2.5 * took[0] + 0.5, took
+
+
+def test_chunks_of_a_long_text(spark):
+    text = "".join(chr(97 + k % 26) for k in range(70_000))
+    got = chunks(spark, text, 60, 10)
+    assert got == [(text[a : a + 60], a, min(a + 60, 70_000), 70_000 - a < 60) for a in range(0, 70_000 - 10, 50)]
+
+
 def test_damage_lowers_scores(spark):
     rng = random.Random(7)
     text = " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(2500))
