@@ -34,7 +34,7 @@ _CHUNK = "struct<chunk_no:int,start_index:int,end_index:int,text:string,is_parti
 #: Chunks of a block, which is cut out of the text first.
 _BLOCK = 64
 #: Targets from this length on get an index of what they hold, so that a miss needs no search.
-_LONG, _GRAM = 1 << 16, 16
+_LONG, _GRAM, _GRAMS = 1 << 13, 16, (4, 6, 8)
 _WORD = re.compile(r"\w{4,}")
 _FOUND = pa.struct([("chunk", pa.struct([("chunk_no", pa.int32()), ("start_index", pa.int32()), ("end_index", pa.int32()), ("text", pa.string()), ("is_partial", pa.bool_())])), ("pos", pa.int32()), ("kind", pa.string())])
 #: Rows that go on at once.
@@ -85,45 +85,72 @@ def segment(df: DataFrame, text: str = "text", size: int = CHUNK, overlap: int =
     return df.select(*keep, F.inline(chunks(F.col(text), size, overlap)))
 
 
-def _rolled(text: str, n: int) -> np.ndarray:
+_FACTOR, _MASK64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` characters in a row."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     out = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)]
+            out = out * np.uint64(_FACTOR) + codes[k : k + len(out)]
+    return out
+
+
+def _hashed(part: str) -> int:
+    """The same of one part."""
+    out = 0
+    for c in part:
+        out = (out * _FACTOR + ord(c)) & _MASK64
     return out
 
 
 class _Target:
-    """A text to look things up in."""
+    """A text to look things up in; a long one by an index of its places and of what it holds."""
 
     def __init__(self, text: str) -> None:
-        self.text = text
+        self.text, self.long = text, len(text) >= _LONG
         self.grams: dict[int, np.ndarray] = {}
         self.first: dict[str, int] = {}
+        self.places: tuple[np.ndarray, np.ndarray] | None = None
 
-    def _may_hold(self, part: str, n: int) -> bool:
-        """False only if some ``n`` characters of ``part`` aren't in the text."""
-        if len(self.text) < _LONG or len(part) < n:
-            return True
-        if n not in self.grams:
-            self.grams[n] = np.unique(_rolled(self.text, n))
-        known, asked = self.grams[n], _rolled(part, n)
-        return bool((known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked).all())
+    def _codes(self) -> np.ndarray:
+        return np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
     def find(self, chunk: str, cursor: int) -> int:
         """The chunk's place behind the cursor, or else from the start; -1 if there is none."""
-        if not self._may_hold(chunk, _GRAM):
-            return -1
-        ahead = self.text.find(chunk, cursor)
-        return ahead if ahead >= 0 else self.text.find(chunk)
+        if not self.long or len(chunk) < _GRAM:
+            ahead = self.text.find(chunk, cursor)
+            return ahead if ahead >= 0 else self.text.find(chunk)
+        if self.places is None:
+            rolled = _rolled(self._codes(), _GRAM)
+            order = np.argsort(rolled, kind="stable").astype(np.int32)
+            self.places = rolled[order], order
+        hashes, order = self.places
+        asked = np.uint64(_hashed(chunk[:_GRAM]))
+        a, b = np.searchsorted(hashes, asked), np.searchsorted(hashes, asked, side="right")
+        some = order[a:b]  # in the text's order
+        turn = int(np.searchsorted(some, cursor))
+        for part in (some[turn:], some[:turn]):
+            for place in part:
+                if self.text.startswith(chunk, int(place)):
+                    return int(place)
+        return -1
 
     def anywhere(self, word: str) -> int:
         if word not in self.first:
-            self.first[word] = self.text.find(word) if self._may_hold(word, 4) else -1
+            self.first[word] = self.text.find(word) if not self.long or self._may_hold(word) else -1
         return self.first[word]
 
+    def _may_hold(self, word: str) -> bool:
+        """False only if the word's first characters stand nowhere in the text."""
+        n = max(k for k in _GRAMS if k <= len(word))
+        if n not in self.grams:
+            self.grams[n] = np.unique(_rolled(self._codes(), n))
+        known, asked = self.grams[n], np.uint64(_hashed(word[:n]))
+        at = int(np.searchsorted(known, asked))
+        return at < len(known) and known[at] == asked
+
     def near(self, chunk: str, cursor: int, threshold: float, window: int) -> int:
         """The place of the first word found, if enough of the chunk's words stand behind the cursor; else -1."""
         words = _WORD.findall(chunk)
