@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import LOWER, WORD, pieces, row_counts, runs, span_hashes
-from quire.runtime import map_arrow
+from quire.runtime import checkpointed, map_arrow
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: About so many pairs of a word and a window are looked at in one go.
+EXPANDED = 1 << 20
 
 
 class _Words:
@@ -97,6 +99,15 @@ class Index:
         at = np.minimum(np.searchsorted(self.tokens, words.hashes), len(self.tokens) - 1)
         places = np.flatnonzero(self.tokens[at] == words.hashes)
         at = at[places]
+        total = np.cumsum(self.n_postings[at])
+        cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, EXPANDED)), len(at)))
+        parts = [self._verified(words, places[a:b], at[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True) if b > a]
+        if not parts:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _verified(self, words: _Words, places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences that some matches of prefix tokens, at ``places``, lead to."""
         n = self.n_postings[at]
         place = np.repeat(places, n)
         posting = np.repeat(self.first_posting[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -113,16 +124,22 @@ class Index:
 
 def _counted(vocabularies: list[Broadcast]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(len(v.value), dtype=np.int64) for v in vocabularies]
+        totals: list[np.ndarray | None] = [None] * len(vocabularies)
         for batch in batches:
             for _, _, raw, offsets in pieces(batch.column(0)):
                 hashes = _Words(raw, offsets).hashes
-                for total, shared in zip(totals, vocabularies, strict=True):
+                for block, shared in enumerate(vocabularies):
                     known = shared.value
+                    if totals[block] is None:
+                        totals[block] = np.zeros(len(known), dtype=np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                        total += np.bincount(at[known[at] == hashes], minlength=len(known))
+                        totals[block] += np.bincount(at[known[at] == hashes], minlength=len(known))
+                    if len(vocabularies) > 1:
+                        shared.__dict__.pop("_value", None)  # one vocabulary in memory at a time, and the counts of all
         for block, (total, shared) in enumerate(zip(totals, vocabularies, strict=True)):
+            if total is None:
+                continue
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block, dtype=np.int32)), pa.array(shared.value[some].view(np.int64)), pa.array(total[some])], ["block", "word", "n"])
 
@@ -142,6 +159,7 @@ def _indexes(documents: DataFrame, benchmark: DataFrame, window: int, block_byte
 
     vocabularies = [sc.broadcast(vocabulary([t for _, t in block(k)])) for k in range(blocks)]
     counts = map_arrow(documents.select("text"), _counted(vocabularies), "block int, word long, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts)  # documents are read once for it, however many blocks there are
     out = []
     for k in range(blocks):  # at most a block's words come back
         found = counts.where(F.col("block") == k) if blocks > 1 else counts

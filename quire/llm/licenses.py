@@ -91,9 +91,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     null license and score 0. Null and empty texts have no notices; a null path counts as the
     empty one, a file in the root. Rows with the same path share their notices. Ties go to the
     higher score, then the earlier template, then the smaller path. An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored, but a column doc_id comes through.
     """
-    rows = files.select(F.coalesce("path", F.lit("")).alias("path"), "text")
+    kept = [c for c in files.columns if c == "doc_id"]
+    rows = files.select(F.coalesce("path", F.lit("")).alias("path"), "text", *kept)
     found = checkpointed(rows.select("path", F.explode(_notices(F.col("text"))).alias("notice")).distinct())  # few rows; texts are read once
     best = checkpointed(_best(found.groupBy("notice").agg(F.count("*").alias("n")), threshold))
     better = F.struct((-F.col("score")).alias("s"), "license", "notice")
@@ -102,7 +103,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     directory = F.regexp_replace("path", "/?[^/]*$", "").alias("dir")
     first = F.struct((-F.col("score")).alias("s"), "path")
     holders = own.where(F.col("path").rlike(LICENSE_FILE)).select("*", directory).groupBy("dir").agg(F.min_by("license", first).alias("license"), F.min_by("score", first).alias("score"))
-    paths = rows.select("path", directory)
+    paths = rows.select("path", directory, *kept)
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
     up = paths.select("dir").distinct().select("dir", F.explode(ancestors).alias("a")).select(F.col("dir").alias("of"), "a.depth", "a.up")
@@ -112,6 +113,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     every = paths.join(own, "path", "left").join(nearest, F.col("dir") == F.col("of"), "left")
     mine, theirs = F.col("license").isNotNull(), F.col("i_license").isNotNull()
     return every.select(
+        *kept,
         "path",
         F.coalesce("license", "i_license").alias("license"),
         F.coalesce("score", "i_score", F.lit(0.0)).alias("score"),
@@ -130,13 +132,12 @@ def documents_as_files(documents: DataFrame) -> DataFrame:
     name = F.when(d % 5 == 0, F.concat(F.lit("LICENSE-"), d)).otherwise(F.concat(d.cast("string"), F.lit(".txt")))
     place = F.concat_ws("/", F.floor(d / 1000).cast("string"), F.pmod(F.floor(d / 50).cast("long"), F.lit(20)).cast("string"), name)
     path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.when(d.isNull(), F.lit("unnamed")).otherwise(place))
-    return documents.select(path.alias("path"), "text")
+    return documents.select("doc_id", path.alias("path"), "text")
 
 
 def op7_license_scan(documents: DataFrame) -> DataFrame:
     """The scan of ``documents`` as files, with doc_id."""
-    number = F.regexp_extract("path", r"([0-9]+)(?:[.]txt)?$", 1)
-    return scan(documents_as_files(documents)).select(F.nullif(number, F.lit("")).cast("long").alias("doc_id"), "path", "license", "score", "how", "from_dir")
+    return scan(documents_as_files(documents)).select("doc_id", "path", "license", "score", "how", "from_dir")
 
 
 def _oracle() -> str:

@@ -1,20 +1,20 @@
 """Exact top-k search by block-at-a-time pruning.
 
-Candidates lie in ranges of ids, cut into blocks of ``BLOCK`` rows. A block has a forward index
-(its integer vectors and ids) and, per dimension, the largest and smallest component. For a query
-the sum over dimensions of the larger of ``q * largest`` and ``q * smallest`` bounds all scores
-of the block. Queries score blocks in the order of falling bounds, through the forward index,
-until the bound falls below their k-th score.
-
-Queries are a stated set. They are taken in blocks of about ``QUERY_BLOCK`` rows, each collected
-and broadcast by itself; the candidates stay where they are, and only k rows per query and task
-are shuffled.
+Candidates lie in ranges of ids, packed into groups of ``RANGE`` rows and these cut into blocks of
+``BLOCK``. A block has a forward index (its integer vectors and ids) and, per dimension, the largest
+and smallest component. For a query the sum over dimensions of the larger of ``q * largest`` and
+``q * smallest`` bounds all scores of the block. Queries score blocks in the order of falling
+bounds, through the forward index, until the bound falls below their k-th score.
+
+Queries are a stated set, packed into blocks of ``QUERY_BLOCK`` rows by the executors. Every block
+of queries meets every group of candidates, a row of each at a time; nothing goes through the
+driver, and of each such pair only k rows per query are shuffled. Vectors of different lengths
+are packed by themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,11 @@ EVERY = 50
 SCALE = 256
 BLOCK = 1024
 QUERY_BLOCK = 4096
-#: Rows of a task's range at most that are gathered before they are searched.
-RANGE = 64 * BLOCK
+#: Rows of a packed group of candidates at most.
+RANGE = 16 * BLOCK
 #: Sums of products below this are exact in doubles.
 _EXACT = float(1 << 53)
+_LARGEST = np.finfo(np.float64).max
 
 
 def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,13 +47,17 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good_values &= np.isfinite(values)
         bad = np.concatenate(([0], np.cumsum(~good_values)))
         keep = (bad[offsets[1:]] == bad[offsets[:-1]]) & vectors.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
-        out = [np.floor(SCALE * values[offsets[k] : offsets[k + 1]]).tobytes() for k in np.flatnonzero(keep)]
+        # Products of a component whose multiple leaves the doubles are beyond 64 bits anyway.
+        with np.errstate(over="ignore"):
+            whole = np.clip(np.floor(SCALE * np.where(good_values, values, 0.0)), -_LARGEST, _LARGEST)
+        out = [whole[offsets[k] : offsets[k + 1]].tobytes() for k in np.flatnonzero(keep)]
         yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array(out, type=pa.binary())], ["vec_id", "v"])
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All inner products of integer rows of a and b, exactly."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+    with np.errstate(over="ignore"):
+        most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
     if most < _EXACT:
         return (a @ b.T).astype(np.int64)
     whole = np.array([[int(x) for x in row] for row in a], dtype=object) @ np.array([[int(x) for x in row] for row in b], dtype=object).T
@@ -89,8 +94,10 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     cuts = range(0, len(ids), block)
     largest = np.stack([vectors[a : a + block].max(axis=0) for a in cuts])
     smallest = np.stack([vectors[a : a + block].min(axis=0) for a in cuts])
-    bounds = np.maximum(queries, 0) @ largest.T + np.minimum(queries, 0) @ smallest.T
-    bounds = bounds + np.abs(bounds) * 1e-9  # rounding of very large sums
+    with np.errstate(over="ignore", invalid="ignore"):
+        bounds = np.maximum(queries, 0) @ largest.T + np.minimum(queries, 0) @ smallest.T
+        bounds = bounds + np.abs(bounds) * 1e-9  # rounding of very large sums
+    bounds[np.isnan(bounds)] = np.inf
     turns = np.argsort(-bounds, axis=1, kind="stable")
     active = np.arange(len(queries))
     for turn in range(len(cuts)):
@@ -106,32 +113,49 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
             best.add(rows, _products(queries[rows], vectors[some]), ids[some], allowed)
 
 
-def _found(shared, k: int, block: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value  # by number of dimensions
-        best = {d: _Best(len(q), k) for d, q in queries.items()}
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in queries}
+def _packed(rows: int):
+    """(d, ids, vectors) of (vec_id, v): groups of at most ``rows`` vectors of one length, as they come."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[np.ndarray], list[bytes]]] = {}
 
-        def search(d: int) -> None:
-            ids = np.concatenate([x for x, _ in held[d]])
-            vectors = np.concatenate([x for _, x in held[d]])
-            held[d] = []
-            _search(queries[d], query_ids[d], vectors, ids, best[d], block)
+        def out(d: int) -> pa.RecordBatch:
+            ids, vectors = held.pop(d)
+            return pa.RecordBatch.from_arrays([pa.array([d], type=pa.int32()), pa.array([np.concatenate(ids).tobytes()], type=pa.binary()), pa.array([b"".join(vectors)], type=pa.binary())], ["d", "ids", "vectors"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            size = np.diff(_offsets(batch.column(1))) // 8
+            ids, size = batch.column(0).to_numpy(), np.diff(_offsets(batch.column(1))) // 8
             vectors = batch.column(1).to_pylist()
-            for d in set(size.tolist()) & set(queries):
-                rows = np.flatnonzero(size == d)
-                held[d].append((ids[rows], np.frombuffer(b"".join(vectors[r] for r in rows), dtype=np.float64).reshape(len(rows), d)))
-                if sum(len(x) for x, _ in held[d]) >= RANGE:
-                    search(d)
-        for d in queries:
-            if held[d]:
-                search(d)
-            rows, places = np.nonzero(best[d].filled)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[d][rows]), pa.array(best[d].ids[rows, places]), pa.array(best[d].scores[rows, places])], ["query_id", "vec_id", "score"])
+            for d in np.unique(size[size > 0]).tolist():
+                some = np.flatnonzero(size == d)
+                while len(some):
+                    own = held.setdefault(d, ([], []))
+                    now = some[: rows - len(own[1])]
+                    own[0].append(ids[now])
+                    own[1].extend(vectors[k] for k in now)
+                    some = some[len(now) :]
+                    if len(own[1]) >= rows:
+                        yield out(d)
+        for d in list(held):
+            yield out(d)
+
+    return pack
+
+
+def _found(k: int, block: int):
+    """The k best of each pair of a group of candidates and a block of queries."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                d, ids, vectors, dq, query_ids, queries = (c[row].as_py() for c in batch.columns)
+                if d != dq:
+                    continue
+                query_ids, queries = np.frombuffer(query_ids, dtype=np.int64), np.frombuffer(queries, dtype=np.float64).reshape(-1, d)
+                best = _Best(len(queries), k)
+                _search(queries, query_ids, np.frombuffer(vectors, dtype=np.float64).reshape(-1, d), np.frombuffer(ids, dtype=np.int64), best, block)
+                rows, places = np.nonzero(best.filled)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(best.ids[rows, places]), pa.array(best.scores[rows, places])], ["query_id", "vec_id", "score"])
 
     return find
 
@@ -141,7 +165,7 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], dtype=kind, count=column.offset + len(column) + 1)[column.offset :]
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, query_block: int = QUERY_BLOCK, range_rows: int = RANGE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but
@@ -149,26 +173,18 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     null or non-finite component, take no part. Vectors of different lengths have no product and
     don't meet. Repeated rows are candidates each; a query whose id occurs with several vectors
     is asked with the one that comes first in the order of its components. Scores beyond 64 bits
-    are cut off there. No queries or candidates give an empty result; other columns are ignored.
+    are cut off there, and so are multiples of components beyond the doubles. No queries or
+    candidates give an empty result; other columns are ignored, whatever their names.
     """
-    spark = vectors.sparkSession
     rows = map_arrow(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), _quantised, "vec_id long, v binary")
     rows = checkpointed(rows.repartitionByRange("vec_id"))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = checkpointed(asked)
-    blocks = max(1, -(-asked.count() // query_block))
-    parts = []
-    for n in range(blocks):  # about query_block rows come back at a time
-        some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()
-        by_size: dict[int, list[tuple[int, bytes]]] = {}
-        for r in sorted(some):
-            by_size.setdefault(len(r.v) // 8, []).append((r.vec_id, bytes(r.v)))
-        ids = {d: np.array([i for i, _ in q], dtype=np.int64) for d, q in by_size.items() if d}
-        queries = {d: np.frombuffer(b"".join(v for _, v in q), dtype=np.float64).reshape(len(q), d) for d, q in by_size.items() if d}
-        shared = spark.sparkContext.broadcast((ids, queries))
-        parts.append(map_arrow(rows, _found(shared, k, block), "query_id long, vec_id long, score long"))
+    schema = "d int, ids binary, vectors binary"
+    candidates = checkpointed(map_arrow(rows, _packed(range_rows), schema))
+    queries = checkpointed(map_arrow(asked, _packed(query_block), schema)).select(F.col("d").alias("dq"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    found = map_arrow(candidates.crossJoin(queries), _found(k, block), "query_id long, vec_id long, score long")  # a stated query set against all rows, in blocks
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -293,7 +293,7 @@ def test_top_k_against_all_pairs(spark):
     vectors = [(k, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for k in range(120)]
     vectors += [(200, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (250, [float("nan")] * 6), (300, None), (None, [1.0] * 6), (350, [1.0, 2.0]), (351, [0.5, 0.5]), (10, [1.0] * 6), (10, [1.0] * 6), (400, [float("inf")] * 6)]
     df = spark.createDataFrame([(k, v, 0) for k, v in vectors], "vec_id long, embedding array<double>, rank int")
-    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, 5, 50, block=8, query_block=2).orderBy("query_id", "rank").collect()]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, 5, 50, block=8, query_block=2, range_rows=40).orderBy("query_id", "rank").collect()]
     good = [(k, [int(np.floor(256 * x)) for x in v]) for k, v in vectors if k is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, a in sorted(x for x in good if x[0] % 50 == 0):
@@ -307,6 +307,16 @@ def test_top_k_of_large_components_and_nothing(spark):
     got = {r.vec_id: r.score for r in topk.top_k(df).collect()}
     assert got == {1: 2**38 * 2**20 + 256 * 768, 2: -(2**38) * 256 + 256 * 128}
     assert topk.top_k(df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1.7e308, 1.0, -1e307]), (1, [1e308, -1e308, 2.0]), (2, [-1e308, 0.0, 0.0]), (3, [0.0, 3.0, 0.0]), (50, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(huge).collect()}
+    assert got[0, 1] == 2**63 - 1 and got[0, 2] == -(2**63) and got[0, 3] == 256 * 768 and got[50, 3] == 256 * 768 and len(got) == 8
+
+
+def test_top_k_reads_candidates_once(spark):
+    """The plan doesn't grow with the number of query blocks, and nothing is broadcast by the driver."""
+    df = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(600)], "vec_id long, embedding array<double>")
+    plans = [topk.top_k(df, every=2, query_block=n)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for n in (500, 10)]
+    assert plans[0] == plans[1]
 
 
 # Mixing
@@ -379,6 +389,8 @@ def test_licences_and_inheritance(spark):
         key=str,
     )
     assert licenses.scan(df.limit(0)).count() == 0
+    docs = documents(spark, [(-7, "Licensed under the MIT license"), (7, None), (None, "x"), (7, "Released under the MIT License.")])
+    assert sorted((r.doc_id for r in licenses.op7_license_scan(docs).collect()), key=str) == [-7, 7, 7, None]
 
 
 def test_mixed_rows_of_equal_ids_and_clashing_names(spark):
