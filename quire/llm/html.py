@@ -444,6 +444,17 @@ def _rows(table: Node) -> tuple[list[Node], list[Node], list]:
     return captions, rows, other
 
 
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Neighbouring or overlapping spans that end in the same row, as one."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, row in spans:
+        if out and out[-1][2] == row and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), row)
+        else:
+            out.append((a, b, row))
+    return out
+
+
 def _table(table: Node, depth: int) -> list[str]:
     captions, rows, other = _rows(table)
     lines = []
@@ -454,21 +465,23 @@ def _table(table: Node, depth: int) -> list[str]:
             extra = box
         lines += render(extra, depth)
     grid: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines) of each row
-    taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
-    for row in rows:
-        cells, column = [], 0
-        covered, taken = taken, {c: n - 1 for c, n in taken.items() if n > 1}
+    taken: list[tuple[int, int, int]] = []  # (column, end, row) that cells from above cover up to a row, by column, apart from each other
+    for at, row in enumerate(rows):
+        cells, column, turn, new = [], 0, 0, []
+        taken = _joined([t for t in taken if t[2] > at])
         for cell in row.kids:
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or hidden(cell):
                 continue
-            while covered.get(column):
-                column += 1
+            while turn < len(taken) and taken[turn][0] <= column:
+                column = max(column, taken[turn][1])
+                turn += 1
             wide = min(MAX_SPAN, max(1, _number(cell.get("colspan"), 1)))
-            tall = min(65534, max(1, _number(cell.get("rowspan"), 1)))
+            tall = min(len(rows) - at, max(1, _number(cell.get("rowspan"), 1)))
             cells.append((column, wide, render(cell, depth)))
             if tall > 1:
-                taken |= {column + k: tall - 1 for k in range(wide)}
+                new.append((column, column + wide, at + tall))
             column += wide
+        taken = sorted(taken + new)
         grid.append(cells)
     width: dict[int, int] = {}
     for cells in grid:
@@ -512,8 +525,12 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id and text, the visible text of ``html``.
 
-    Null and empty pages have an empty text; broken markup is repaired, never an error. Null and
-    repeated page_ids are rows like others, other columns are ignored.
+    Null and empty pages have an empty text; broken markup is repaired, never an error. Pages of
+    any length come out whole, in time that grows with their length. Null and repeated page_ids are
+    rows like others, other columns are ignored. An empty table gives an empty result. Elements
+    nested deeper than MAX_DEPTH are laid out as children of the one at that depth, tables within
+    more than MAX_TABLES others as plain blocks, and a cell wider than MAX_COLUMN doesn't widen its
+    column; their text comes out all the same.
     """
     return map_arrow(pages.select(F.col("page_id").cast("long"), "html"), _rendered, "page_id long, text string")
 

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,24 +31,51 @@ SEED = 42
 DISTANCE = 4
 BLOCKS = 7
 CHUNK = 1024
+#: Bytes of a text that are read at once.
+TEXT_BLOCK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: Rows that a task gathers before it looks for links; whole groups only, so it may be more by one group.
 FLUSH_ROWS = 100_000
 
 
+def _word_blocks(text: bytes, size: int = TEXT_BLOCK) -> Iterator[list[bytes]]:
+    """The words of a text, block by block."""
+    if len(text) <= size:
+        yield text.lower().split()
+        return
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            gap = _BLANK.search(text, end)
+            end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The contract's fingerprint of a text, as an unsigned number."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts, ends = np.concatenate(([0], ends[:-1] + 1))[:n], ends[-n:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 15):
-        some = slice(at, at + (1 << 15))
-        part = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], dtype="<u8")
+    """The contract's fingerprint of a text, as an unsigned number. Long texts are read block by block."""
+    digest, ones, n, held = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0, []
+
+    def add(words: list[bytes], size: int) -> None:
+        nonlocal n, ones
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+        starts, ends = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1], ends[size - 1 :]
+        part = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        n += len(part)
+
+    for words in _word_blocks(text or b""):
+        words = held + words
+        if len(words) >= shingle:
+            add(words, shingle)
+            held = words[len(words) - shingle + 1 :]
+        else:
+            held = words
+    if not n and held:
+        add(held, len(held))
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,6 +177,14 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
+def test_fingerprints_of_long_texts(monkeypatch):
+    rng = random.Random(13)
+    texts = [" ".join("".join(rng.choice("abÄ") for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 40, 200)] + ["x" * 300 + "\t\n y", "  \n", " a  b " * 30]
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", 16)
+    monkeypatch.setattr(simhash._word_blocks, "__defaults__", (16,))
+    assert [simhash.fingerprint(t.encode()) for t in texts] == [fingerprint(t) for t in texts]
+
+
 def test_fingerprints_of_no_documents(spark):
     assert simhash.op6_simhash_near_dedup(documents(spark, [])).count() == 0
 

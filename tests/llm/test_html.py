@@ -96,3 +96,20 @@ def test_operator(spark):
 def test_pages_hold_their_article_and_no_script(spark):
     for r in html.extract(spark.read.parquet(f"{DATA}/pages.parquet")).collect():
         assert "track(" not in r.text and "margin:0" not in r.text and len(r.text) > 100
+
+
+def test_wide_and_tall_cells_take_linear_time():
+    """Spans that cover more rows and columns than there are."""
+    took = []
+    for n in (200, 400, 800):
+        page = "<table>" + "<tr><td colspan=1000 rowspan=65534>a<td rowspan=3>b</tr>" * n + "</table>"
+        start = time.monotonic()
+        text = html.to_text(page)
+        took.append(time.monotonic() - start)
+        assert text.count("a") == text.count("b") == n
+    assert took[2] < 3 * took[1] + 0.3, took
+
+
+def test_rowspans_move_cells_aside():
+    got = html.to_text("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>")
+    assert got.split("\n") == ["a  b", "   c", "d  e"]
