@@ -76,15 +76,21 @@ _SPACE = " \t\n\r\f\v"
 _BLANKS = re.compile("[ \t\n\r\f\v]+")
 #: Blanks beyond ASCII, which stay as they are.
 _WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.I)
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: Style sheets: comments, and selectors of one element by tag, classes and ids. Others, and rules within at-rules, have no effect.
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)|<!--|-->", re.S)
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)$", re.I)
+_PART = re.compile(r"([.#])([\w-]+)")
 
 
 class Node:
-    __slots__ = ("attributes", "kids", "tag")
+    __slots__ = ("attributes", "css", "kids", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes, self.kids = tag, attributes, []
+        #: display and visibility as the page's style sheets have them, or None.
+        self.css: dict[str, str] | None = None
 
     def get(self, name: str) -> str | None:
         """An attribute's value; empty if it has none, None if it isn't there."""
@@ -253,11 +259,14 @@ def hidden(node: Node) -> bool:
         return True
     own = node.attributes
     if not own or own.isspace():
-        return node.tag == "dialog"
+        return node.tag == "dialog" or bool(node.css) and node.css.get("display") == "none"
     own = own.lower()
     if "hidden" in own and node.get("hidden") not in (None, "until-found"):
         return True
-    if "display" in own and _DISPLAY_NONE.search(node.get("style") or ""):
+    shown = _DISPLAY.findall(node.get("style") or "") if "display" in own else None
+    if shown:
+        return shown[-1].lower() == "none"
+    if node.css and node.css.get("display") == "none":
         return True
     return node.tag == "dialog" and node.get("open") is None
 
@@ -268,9 +277,66 @@ def _invisible(node: Node, outer: bool) -> bool:
         found = _VISIBILITY.findall(node.get("style") or "")
         if found:
             return found[-1].lower() != "visible"
+    if node.css and "visibility" in node.css:
+        return node.css["visibility"] != "visible"
     return outer
 
 
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a sheet's rules that stand in no other block."""
+    sheet, at = _COMMENT.sub(" ", sheet), 0
+    while (opens := sheet.find("{", at)) >= 0:
+        head, depth, end = sheet[at:opens].rpartition(";")[2], 1, opens + 1
+        for m in re.finditer("[{}]", sheet[end:]) if "@" in head else ():
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                end += m.end()
+                break
+        else:
+            if "@" in head:
+                return
+            end = sheet.find("}", end) + 1
+            if not end:
+                return
+            yield head, sheet[opens + 1 : end - 1]
+        at = end
+
+
+def _styled(root: Node) -> Node:
+    """The tree, its elements with what the page's style sheets say about their visibility."""
+    sheets, nodes, todo = [], [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        if node.tag == "style":
+            sheets += [k for k in node.kids if isinstance(k, str)]
+        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    known: dict[tuple[str, str], list[tuple[int, int, str, set, dict]]] = {}
+    order = 0
+    for sheet in sheets:
+        for head, body in _rules(sheet) if "display" in sheet or "visibility" in sheet else ():
+            says = {k: v[-1].lower() for k, v in (("display", _DISPLAY.findall(body)), ("visibility", _VISIBILITY.findall(body))) if v}
+            for selector in head.split(",") if says else ():
+                m = _SELECTOR.match(selector.strip())
+                if m and m[0]:
+                    order += 1
+                    parts = set(_PART.findall(m[2]))
+                    tag = (m[1] or "*").lower()
+                    key = max(parts) if parts else ("", tag)
+                    weight = sum(100 if kind == "#" else 10 for kind, _ in parts) + (tag != "*")
+                    known.setdefault(key, []).append((weight, order, tag, parts, says))
+    for node in nodes if known else ():
+        own: set[tuple[str, str]] = set()
+        if node.attributes:
+            own = {(".", c) for c in (node.get("class") or "").split()} | {("#", i) for i in [node.get("id")] if i}
+        some = [r for key in (*own, ("", node.tag), ("", "*")) for r in known.get(key, ()) if r[2] in ("*", node.tag) and r[3] <= own]
+        if some:
+            node.css = {}
+            for *_, says in sorted(some, key=lambda r: r[:2]):
+                node.css |= says
+    return root
+
+
 class _Page:
     """Lines of text as they are laid out."""
 
@@ -511,7 +577,8 @@ def to_text(page: str | None) -> str:
     """The visible text of a page; empty for null, empty and invisible ones."""
     if not page:
         return ""
-    return "\n".join(render(parse(page))).replace("\u00a0", " ")
+    root = parse(page)
+    return "\n".join(render(_styled(root) if "<style" in page or "<STYLE" in page else root)).replace("\u00a0", " ")
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,3 +113,19 @@ def test_wide_and_tall_cells_take_linear_time():
 def test_rowspans_move_cells_aside():
     got = html.to_text("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>")
     assert got.split("\n") == ["a  b", "   c", "d  e"]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>.h{display:none}</style><p class=h>x<p class='a h b'>y<p>z", "z"),
+        ("<style>/* p{display:none} */ p.h , #k { color: red; display : NONE } div{visibility:hidden}</style><p class=h>a<p id=k>b<p>c<div class=h>d</div>", "c"),
+        ("<style>@media print{p{display:none} i{display:none}} i{display:none}</style><p>a <i>b</i>", "a"),
+        ("<style>p{display:none} .s{display:block}</style><p>a<p class=s>b<p style='display:block'>c", "b\n\nc"),
+        ("<style>div{visibility:hidden} b{visibility:visible}</style><div>x <b>y</b></div>", "y"),
+        ("<style>p{display:none", ""),
+        ("<style>ul li{display:none} a:hover{display:none} {display:none}</style><p>a", "a"),
+    ],
+)
+def test_style_sheets_hide(page, text):
+    assert html.to_text(page) == text
