@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -81,17 +82,21 @@ def images_by_page(images: DataFrame, blocks: DataFrame) -> DataFrame:
     return images.join(pages, ["doc_id", "page"]).select("doc_id", "chapter_id", "image_seq")
 
 
-def contained(items: DataFrame, documents: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
+def contained(items: DataFrame, documents: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """(item_id, doc_id) where an item's text stands in a document's.
 
-    A theta join without a key: ``items`` has to be a small table, of ``limit_bytes`` at most, or
-    a ValueError is raised; the decontamination operators are for large ones.
+    A join without a key: items are broadcast in blocks of about ``block_bytes``, as many as it
+    takes; the decontamination operators are the way for large tables of items.
     """
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    if size > limit_bytes:
-        raise ValueError(f"items have {size} bytes; at most {limit_bytes} are broadcast")
-    small = F.broadcast(items.select("item_id", F.col("text").alias("item")))
-    return documents.join(small, F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+    blocks = max(1, -(-total // block_bytes))
+
+    def found(k: int) -> DataFrame:
+        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        small = F.broadcast(some.select("item_id", F.col("text").alias("item")))
+        return documents.join(small, F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
+
+    return reduce(DataFrame.union, [found(k) for k in range(blocks)])
 
 
 def figure_html(seq: Column, page: Column, filename: Column, anchor: Column) -> Column:

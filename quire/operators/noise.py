@@ -25,12 +25,16 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
 
 
 def strip_repeated(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``df`` without what matches its document's patterns, in the order in which they were found."""
+    """``df`` without what matches its document's patterns, in the order in which they were found.
+
+    A line that holds none of them as text, digit runs as ``#``, has no match, and no pattern is compiled for it.
+    """
     escaped = F.replace(F.regexp_replace("pattern", r"([\\.\[\]{}()*+?^$|&\-~])", r"\\$1"), F.lit("#"), F.lit("\\d+"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("first_seq", escaped.alias("p")))), lambda x: x["p"])
-    per = patterns.groupBy("doc_id").agg(ordered.alias("_patterns"))
-    text = F.aggregate(F.coalesce("_patterns", F.array().cast("array<string>")), F.col("text"), lambda t, p: F.regexp_replace(t, p, F.lit("")))
-    return df.join(per, "doc_id", "left").withColumn("text", text).drop("_patterns")
+    per = patterns.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", escaped.alias("p"), "pattern"))).alias("_patterns"))
+    rows = df.join(per, "doc_id", "left").withColumn("_plain", F.when(F.col("_patterns").isNotNull(), F.regexp_replace("text", r"(?U)\d+", "#")))
+    some = F.filter("_patterns", lambda x: F.contains(F.col("_plain"), x["pattern"]))
+    stripped = F.aggregate(F.transform("_patterns", lambda x: x["p"]), F.col("text"), lambda t, p: F.regexp_replace(t, p, F.lit("")))
+    return rows.withColumn("text", F.when(F.size(some) > 0, stripped).otherwise(F.col("text"))).drop("_patterns", "_plain")
 
 
 def at_page_edge(y0: Column, y1: Column, height: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import ship
+from quire.runtime import map_arrow
 
 WIDE, NARROW, LEAST_BLOCKS = 0.4, 0.5, 3
+#: Rows that are gathered before their pages are cut.
+_PAGE_ROWS = 10_000
 
 
 def _renumbered(blocks: DataFrame, *order) -> DataFrame:
@@ -48,23 +50,49 @@ def _cut(boxes: list[tuple]) -> list[int]:
     return out
 
 
+def _cut_pages(names: list[str]):
+    """Batches sorted by (doc_id, page, seq), each page's rows in reading order; a page may go on in the next batch."""
+    doc, page, seq = (names.index(c) for c in ("doc_id", "page", "seq"))
+    box = [names.index(c) for c in ("x0", "y0", "x1", "y1")]
+
+    def ordered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = list(zip(rows.column(doc).to_pylist(), rows.column(page).to_pylist(), strict=True))
+        boxes = list(zip(range(len(keys)), *[rows.column(c).to_pylist() for c in box], strict=True))
+        order, first = [], 0
+        for k in range(1, len(keys) + 1):
+            if k == len(keys) or keys[k] != keys[first]:
+                order += _cut(boxes[first:k])
+                first = k
+        rows = rows.take(pa.array(order, type=pa.int64()))
+        rows = rows.set_column(seq, rows.schema.field(seq), pa.array(range(len(order)), type=pa.int64()).cast(rows.schema.field(seq).type))
+        yield from rows.combine_chunks().to_batches()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if len(held) < _PAGE_ROWS:
+                continue
+            last = (held.column(doc)[-1], held.column(page)[-1])
+            n = len(held)
+            while n and (held.column(doc)[n - 1], held.column(page)[n - 1]) == last:
+                n -= 1
+            if n:
+                yield from ordered(held.slice(0, n))
+                held = held.slice(n)
+        if held is not None and len(held):
+            yield from ordered(held)
+
+    return cut
+
+
 def xy_cut(blocks: DataFrame) -> DataFrame:
     """Pages cut at their widest gaps, first across and then down, as long as there are gaps.
 
-    One group per page, so a group is bounded by a page's blocks.
+    Many pages stream through one function; what it holds is bounded by the largest page's blocks.
     """
-    ship(blocks.sparkSession)
-    schema = blocks.schema
-
-    def page(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq", kind="stable").reset_index(drop=True)
-        rows = _cut(list(zip(group.index, group.x0, group.y0, group.x1, group.y1, strict=True)))
-        group = group.loc[rows]
-        group["seq"] = range(len(group))
-        return group
-
-    cut = blocks.groupBy("doc_id", "page").applyInPandas(page, schema)
-    return _renumbered(cut, "page")
+    rows = blocks.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "seq")
+    return _renumbered(map_arrow(rows, _cut_pages(blocks.columns), blocks.schema), "page")
 
 
 def side_blocks_last(blocks: DataFrame) -> DataFrame:
@@ -76,19 +104,16 @@ def side_blocks_last(blocks: DataFrame) -> DataFrame:
     width = F.max("x1").over(page) - F.min("x0").over(page)
     rows = blocks.withColumns({"_w": width, "_n": F.count("*").over(page)})
     share = F.when(F.col("_w") > 0, (F.col("x1") - F.col("x0")) / F.col("_w"))
-    rows = rows.withColumn("_share", share)
-
-    def median(column: str):
-        wide = F.sort_array(F.collect_list(F.when(F.col("_share") >= WIDE, F.col(column))).over(page))
-        all_of = F.sort_array(F.collect_list(column).over(page))
-        values = F.when(F.size(wide) > 0, wide).otherwise(all_of)
-        return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
-
-    rows = rows.withColumns({"_left": median("x0"), "_right": median("x1")})
+    rows = rows.withColumn("_share", share).withColumn("_wide", F.coalesce(F.col("_share") >= WIDE, F.lit(False)))
+    rows = rows.withColumn("_main", F.col("_wide") | ~F.max("_wide").over(page))
+    main = Window.partitionBy("doc_id", "page", "_main")
+    middle = F.floor(F.count("*").over(main) / 2) + 1
+    rows = rows.withColumns({f"_{c}": F.when(F.col("_main") & (F.row_number().over(main.orderBy(c)) == middle), F.col(c)) for c in ("x0", "x1")})
+    rows = rows.withColumns({"_left": F.max("_x0").over(page), "_right": F.max("_x1").over(page)})
     outside = (F.col("x1") < F.col("_left")) | (F.col("x0") > F.col("_right"))
     side = (F.col("_n") >= LEAST_BLOCKS) & (F.col("_w") > 0) & (F.col("_share") < NARROW) & outside
     rows = rows.withColumn("_side", F.coalesce(side, F.lit(False)))
-    return _renumbered(rows, "page", "_side", "y0", "x0").drop("_w", "_n", "_share", "_left", "_right", "_side")
+    return _renumbered(rows, "page", "_side", "y0", "x0").drop("_w", "_n", "_share", "_wide", "_main", "_x0", "_x1", "_left", "_right", "_side")
 
 
 #: Sorters by name; others may be added.

@@ -11,7 +11,7 @@ from quire.functions.text import canonicalize, strip
 from quire.operators import images, noise, render, structure
 from quire.operators.classify import classify
 from quire.operators.notes import link_stats
-from quire.operators.order import number_images, order_blocks
+from quire.operators.order import number_images, order_blocks, xy_cut
 from quire.plans import validate
 from quire.sources import blocks as source
 from quire.sources.config import Config
@@ -71,9 +71,12 @@ def prepared(blocks: DataFrame, config: Config) -> DataFrame:
     pages = config.page_ranges
     if pages.start is not None or pages.end is not None or pages.skip:
         blocks = noise.keep_pages(blocks, pages.start, pages.end, pages.skip)
-    columns = config.multi_column.enabled and config.multi_column.column_count > 1
-    order = "xy_cut" if columns and config.reading_order_strategy == Config.reading_order_strategy else config.reading_order_strategy
-    return classify(order_blocks(_without_edges(blocks, config), order).drop("confidence"), config.heading_detection.font_size_threshold)
+    rows = _without_edges(blocks, config)
+    if config.multi_column.enabled and config.multi_column.column_count > 1:
+        rows = xy_cut(rows)  # column by column; side blocks would be moved behind all of them
+    else:
+        rows = order_blocks(rows, config.reading_order_strategy).drop("confidence")
+    return classify(rows, config.heading_detection.font_size_threshold)
 
 
 def simple(blocks: DataFrame, config: Config) -> DataFrame:

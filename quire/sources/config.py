@@ -28,7 +28,7 @@ class ExcludeRegions:
 
 @dataclass(frozen=True)
 class MultiColumn:
-    """Pages of several columns are ordered by cuts, unless an order is named."""
+    """Pages of several columns are read column by column, as their gaps have them."""
 
     enabled: bool = False
     column_count: int = 1

@@ -58,7 +58,7 @@ def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             try:
                 with fitz.open(stream=data, filetype="pdf") as document:
-                    for page_no, page in enumerate(document, 1):
+                    for page_no, page in enumerate([] if document.is_encrypted else document, 1):
                         placed = [b for b in page.get_text("dict")["blocks"] if b["type"] == 1]
                         rows += [(path, page_no, k, *b["bbox"], b["width"], b["height"], b["ext"], b["image"]) for k, b in enumerate(placed, 1)]
                         for k, listed in enumerate([] if placed else page.get_images(full=True), 1):

@@ -2,8 +2,10 @@
 
 import io
 import random
+import sys
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,12 +187,11 @@ def test_figures(spark):
     assert tuple(size.a) == (1200, 50) and tuple(size.b) == (10, 10)
 
 
-def test_contained_needs_a_small_table(spark):
-    items = spark.createDataFrame([(1, "lazy dog")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, BODY), (2, "none")], "doc_id long, text string")
-    assert [tuple(r) for r in links.contained(items, docs).collect()] == [(1, 1)]
-    with pytest.raises(ValueError):
-        links.contained(items, docs, limit_bytes=3)
+def test_contained_in_blocks_of_items(spark):
+    items = spark.createDataFrame([(1, "lazy dog"), (2, "nowhere at all"), (3, "quick"), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, BODY), (2, "none"), (3, None)], "doc_id long, text string")
+    for size in (8 << 20, 5):
+        assert sorted(tuple(r) for r in links.contained(items, docs, block_bytes=size).collect()) == [(1, 1), (3, 1)]
 
 
 def test_rendering_and_books(spark):
@@ -272,6 +273,91 @@ def test_pdf_needs_its_library(spark):
             pdf.read_pdf_images(spark, "/nowhere")
 
 
+class _Page:
+    """A page as the PDF library has it."""
+
+    rect = type("Rect", (), {"height": 700.0})
+
+    def __init__(self, image):
+        self.image = image
+
+    def get_text(self, kind):
+        assert kind == "dict"
+        span = {"bbox": (1.0, 2.0, 3.0, 4.0), "font": "A", "size": 11.04, "flags": 16, "text": "word"}
+        blocks = [{"type": 0, "bbox": (1.0, 2.0, 3.0, 4.0), "lines": [{"bbox": (1.0, 2.0, 3.0, 4.0), "spans": [span, span]}]}]
+        return {"blocks": blocks + ([{"type": 1, "bbox": (0.0, 0.0, 9.0, 9.0), "width": 9, "height": 9, "ext": "png", "image": b"x"}] if self.image else [])}
+
+    def get_images(self, full):
+        return [(7,)] if full else []
+
+
+class _Document:
+    is_encrypted, page_count, metadata = False, 2, {"title": "T", "author": "", "creationDate": "D:2020"}
+
+    def __init__(self, data):
+        if data == b"broken":
+            raise ValueError("no document")
+        self.is_encrypted = data == b"locked"
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+    def __iter__(self):
+        return iter([_Page(True), _Page(False)])
+
+    def extract_image(self, number):
+        return {"width": 4, "height": 5, "ext": "jpeg", "image": b"y"}
+
+
+def test_pdf_rows_with_a_stand_in_library(monkeypatch):
+    """The readers' loops over what the library delivers, and rows for broken and locked files."""
+    monkeypatch.setitem(sys.modules, "fitz", type("fitz", (), {"open": staticmethod(lambda stream, filetype: _Document(stream))}))
+    files = pa.RecordBatch.from_pydict({"path": ["a", "b", "c"], "content": [b"good", b"broken", b"locked"]})
+    rows = [r for batch in pdf._spans(iter([files])) for r in batch.to_pylist()]
+    good = [r for r in rows if r["path"] == "a"]
+    assert [(r["page"], r["block_no"], r["span_no"], r["font_size"], r["text"]) for r in good] == [(p, 0, s, 11.0, "word") for p in (1, 2) for s in (0, 1) for _ in (0,)]
+    assert [r["error"] for r in rows if r["path"] != "a"] == ["ValueError: no document", "RuntimeError: the file is encrypted"]
+    pictures = [r for batch in pdf._images(iter([files])) for r in batch.to_pylist()]
+    assert [(r["page"], r["image_no"], r["x1"], r["format"], r["data"]) for r in pictures] == [(1, 1, 9.0, "png", b"x"), (2, 1, None, "jpeg", b"y")]
+    heads = [r for batch in pdf._documents(iter([files])) for r in batch.to_pylist()]
+    assert [(r["path"], r["page_count"], r["title"], r["author"], r["created"]) for r in heads] == [("a", 2, "T", None, "D:2020"), ("b", None, None, None, None), ("c", None, None, None, None)]
+
+
+def test_settings_act(spark):
+    rows = [("Left one", {"x0": 0.0, "x1": 200.0, "y0": 100.0, "y1": 130.0}), ("Right one", {"x0": 300.0, "x1": 500.0, "y0": 110.0, "y1": 140.0}), ("Left two", {"x0": 0.0, "x1": 200.0, "y0": 131.0, "y1": 160.0}), ("Top", {"y0": 5.0, "y1": 12.0})]
+    blocks = made(spark, rows)
+    cut = convert.prepared(blocks, config.from_dict({"multi_column": {"enabled": True, "column_count": 2}}))
+    assert [r.text for r in cut.orderBy("seq").collect()] == ["Top", "Left one", "Left two", "Right one"]
+    with pytest.raises(ValueError):
+        convert.prepared(blocks, config.from_dict({"exclude_regions": {"top": 0.1}}))
+    edges = config.from_dict({"exclude_regions": {"top": 0.1, "right": 0.5}})
+    sized = blocks.withColumns({"page_height": F.lit(700.0), "page_width": F.lit(500.0)})
+    assert {r.text for r in convert.prepared(sized, edges).collect()} == {"Left one", "Left two"}
+    large = made(spark, [(BODY, {}), ("A larger line that ends here.", {"size": 13.0, "y1": 52.0})])
+    roles = [{r.text: r.role for r in classify(large, x).collect()}["A larger line that ends here."] for x in (1.2, 1.05)]
+    assert roles == ["body", "h1"]
+    with pytest.raises(ValueError):
+        config.from_dict({"heading_detection": {"font_size_threshold": 0}})
+    noted = made(spark, [("Chapter 1", {"size": 18.0, "flags": 16}), ("A claim [1] is here and goes on for quite a while, as claims do.", {}), (BODY, {}), ("ENDNOTES", {}), ("1  The note", {})])
+    for on, back in ((True, False), (True, True), (False, False)):
+        html = "".join(r.html for r in convert.convert(noted, config.from_dict({"footnote_processing": {"enabled": on, "generate_backlinks": back}})).collect())
+        assert ("footnote-ref" in html, "endnote-backlink" in html) == (on, back)
+
+
+def test_verdict_needs_all_images(spark):
+    from quire.plans import validate
+
+    texts = spark.createDataFrame([(1, BODY), (2, BODY)], "doc_id long, text string")
+    chapters = spark.createDataFrame([(1, 0, None, False, 1), (2, 0, None, False, 1)], "doc_id long, chapter_id int, parent_id int, is_endnotes boolean, n_blocks long")
+    nothing = spark.createDataFrame([], "doc_id long, n_notes long, n_links long, n_linked long, n_missing long")
+    found, kept = (spark.createDataFrame([(1, 2), (2, n)], "doc_id long, n int") for n in (2, 1))
+    reports = {r.doc_id: r.report for r in validate.summary_text(validate.conversion_stats(texts, texts, chapters, nothing, found, kept)).collect()}
+    assert reports[1].endswith("PASS") and "Images: 1 of 2" in reports[2] and reports[2].endswith("NEEDS REVIEW")
+
+
 def test_command_line(spark, tmp_path):
     texts = spark.createDataFrame([(1, "some words " * 100)], "doc_id long, text string")
     texts.write.parquet(str(tmp_path / "a"))
@@ -279,8 +365,23 @@ def test_command_line(spark, tmp_path):
     source.derive(texts).write.parquet(str(tmp_path / "blocks"))
     assert cli.main(["validate", str(tmp_path / "a"), str(tmp_path / "a"), "-o", str(tmp_path / "same")]) == 0
     assert cli.main(["validate", str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "other")]) == 1
-    assert cli.main(["analyze", str(tmp_path / "blocks")]) == 0 and cli.main(["convert", str(tmp_path / "blocks"), "-o", str(tmp_path / "out")]) == 0
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    assert cli.main(["analyze", str(tmp_path / "blocks")]) == 0
+
+
+def test_command_line_writes_books(spark, tmp_path, capsys):
+    texts = spark.createDataFrame([(k, f"Title {k}\n" + BODY) for k in (1, 2)], "doc_id long, text string")
+    source.derive(texts).write.parquet(str(tmp_path / "blocks"))
+    assert cli.main(["convert", str(tmp_path / "blocks"), "-o", str(tmp_path / "books")]) == 0
+    assert "Document 1\nWords:" in capsys.readouterr().out
+    title, _, chapters = epub.read_book((tmp_path / "books" / "2.epub").read_bytes())
+    assert title == "Unknown" and any("lazy dog" in html for _, html in chapters)
+    assert cli.main(["validate", str(tmp_path / "books"), str(tmp_path / "books")]) == 0
+    assert sorted(r.text[:7] for r in cli._texts(spark, str(tmp_path / "books")).collect()) == ["Title 1", "Title 2"]
+    source.derive(texts.where("doc_id = 1")).write.parquet(str(tmp_path / "one"))
+    assert cli.main(["convert", str(tmp_path / "one"), "--no-report", "-o", str(tmp_path / "one.epub")]) == 0
+    assert cli.main(["validate", str(tmp_path / "one.epub"), str(tmp_path / "one.epub")]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["convert", str(tmp_path / "blocks"), "--no-report", "-o", str(tmp_path / "two.epub")])
 
 
 def test_stream_gives_the_batch_result(spark, tmp_path):
