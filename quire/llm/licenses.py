@@ -1,9 +1,13 @@
 """Licence scan: TF-IDF cosine of notices to templates, then inheritance from ancestor directories.
 
-DataFrame functions only. A file's notices are its lines with a licence cue, one by one and, if
-there are several, all together. Equal notices are compared once, however many files have them.
-Terms weigh tf * idf, where the document frequencies are those of all notices of all files; the
-best template with at least ``THRESHOLD`` gives the file's own licence.
+DataFrame functions only. A file's notices are windows of its terms around every term that speaks
+of licences, in several sizes and places, across line ends; so words around a notice can't dilute
+it, wherever it stands in however long a text. Files that are licence files by name are compared
+as a whole, too. Equal notices are compared once, however many files have them.
+
+Terms weigh tf * idf, where the document frequencies are those of all notices of all files; terms
+of no template have the smallest idf, 1, since they only tell how much else a notice says. The best
+template with at least ``THRESHOLD`` gives the file's own licence.
 
 A file without one inherits from the nearest ancestor directory (its own first) that holds a
 licence file, by name, with a licence. Directories, not files, are joined to their ancestors.
@@ -11,14 +15,21 @@ licence file, by name, with a licence. Directories, not files, are joined to the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed
 
 THRESHOLD = 0.6
 CUE = r"licen[cs]|copyright|spdx|permission|redistribut|warrant|public domain|creative commons|\bcc by|\bgpl\b"
+#: The same for single terms; and pairs of terms, of which the first one is a cue.
+CUE_TERM = r"licen[cs]|copyright|spdx|permission|redistribut|warrant|^gpl$"
+CUE_PAIRS = (("public", "domain"), ("creative", "commons"), ("cc", "by"))
 TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
+#: Terms of a window, and how many of them stand before its cue.
+WINDOWS = tuple((size, before) for size in (6, 12, 24) for before in (size - 1, 2 * size // 3, size // 3, 0))
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)[^/]*$"
 #: Names and the words of usual notices; fixed values.
 TEMPLATES = (
@@ -56,30 +67,42 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def _notices(text: Column) -> Column:
-    """A file's cue lines, and all of them together where there are several; equal ones once."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(CUE))
-    every = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.array_join(lines, " ")))).otherwise(lines)
-    return F.when(F.lower(text).rlike(CUE), F.array_distinct(every))
+def _notices(text: Column, path: Column) -> Column:
+    """A file's windows around cues, and all its terms if it is a licence file; equal ones once. Null where there is no cue."""
+
+    def windows(terms: Column) -> Column:
+        def cue(t: Column, i: Column) -> Column:
+            pairs = [(t == a) & F.coalesce(F.get(terms, i + 1) == b, F.lit(False)) for a, b in CUE_PAIRS]
+            return F.when(reduce(lambda x, y: x | y, pairs, t.rlike(CUE_TERM)), i)
+
+        cues = F.filter(F.transform(terms, cue), lambda i: i.isNotNull())
+        every = F.transform(cues, lambda i: F.array(*[F.array_join(F.slice(terms, F.greatest(i - before, F.lit(0)) + 1, F.lit(size)), " ") for size, before in WINDOWS]))
+        whole = F.when(path.rlike(LICENSE_FILE), F.array(F.array_join(terms, " "))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.flatten(every), whole))
+
+    return F.when(F.lower(text).rlike(CUE), F.transform(F.array(_terms(text)), windows)[0])
 
 
 def _best(notices: DataFrame, threshold: float) -> DataFrame:
-    """(notice, license, score) of notices (notice, n) that come near a template."""
-    spark = notices.sparkSession
+    """(notice, license, score) of notices (notice, n) that come near a template.
+
+    The templates' vocabulary is a table of fixed size, and so is all that is broadcast.
+    """
+    templates = _templates(notices.sparkSession)
+    words = templates.select("term").distinct().withColumn("known", F.lit(True))
     total = notices.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     terms = notices.select("notice", "n", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("notice", "n", "term").agg(F.count("*").alias("tf"))
-    terms = checkpointed(terms)
-    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    terms = checkpointed(terms.join(F.broadcast(words), "term", "left"))
+    df = terms.where("known").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(float(total)) + 1) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1
-
-    def norm(by: str, weight: str) -> Column:
-        return F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(by)))
-
-    own = terms.join(df, "term").select("notice", "term", (F.col("tf") * idf).alias("w"))
-    templates = _templates(spark).join(df, "term", "left").select("t", "license", "term", (F.col("tf") * idf).alias("tw"))
-    own, templates = own.withColumn("norm", norm("notice", "w")), templates.withColumn("tnorm", norm("t", "tw"))
-    dots = own.join(templates, "term").groupBy("notice", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.max("norm").alias("norm"), F.max("tnorm").alias("tnorm"))
-    near = dots.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6)).where(F.col("score") >= threshold)
+    templates = checkpointed(templates.join(df, "term", "left").select("t", "license", "term", idf.alias("idf"), (F.col("tf") * idf).alias("tw")))
+    norms = templates.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    weights = F.broadcast(templates.select("term", "idf").distinct())
+    own = terms.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    lengths = own.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = own.where("known").join(F.broadcast(templates.select("t", "license", "term", "tw")), "term").groupBy("notice", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    near = dots.join(F.broadcast(norms), "t").join(lengths, "notice")
+    near = near.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6)).where(F.col("score") >= threshold)
     first = F.struct((-F.col("score")).alias("s"), "t")
     return near.groupBy("notice").agg(F.min_by("license", first).alias("license"), F.max("score").alias("score"))
 
@@ -88,14 +111,15 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``files`` (path, text): path, license, score, how, from_dir.
 
     how is ``notice`` (own), ``inherited`` (from_dir holds the licence file) or ``none``, with
-    null license and score 0. Null and empty texts have no notices; a null path counts as the
+    null license and score 0. Null and empty texts have no notices, and texts of any length are
+    read whole; a null path counts as the
     empty one, a file in the root. Rows with the same path share their notices. Ties go to the
     higher score, then the earlier template, then the smaller path. An empty table gives an empty
     result; other columns are ignored, but a column doc_id comes through.
     """
     kept = [c for c in files.columns if c == "doc_id"]
     rows = files.select(F.coalesce("path", F.lit("")).alias("path"), "text", *kept)
-    found = checkpointed(rows.select("path", F.explode(_notices(F.col("text"))).alias("notice")).distinct())  # few rows; texts are read once
+    found = checkpointed(rows.select("path", F.explode(_notices(F.col("text"), F.col("path"))).alias("notice")).distinct())  # few rows; texts are read once
     best = checkpointed(_best(found.groupBy("notice").agg(F.count("*").alias("n")), threshold))
     better = F.struct((-F.col("score")).alias("s"), "license", "notice")
     own = checkpointed(found.join(best, "notice").groupBy("path").agg(F.min_by("license", better).alias("license"), F.max("score").alias("score")))
@@ -144,22 +168,30 @@ def _oracle() -> str:
     quoted = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
     terms = f"unnest(regexp_extract_all(lower({{}}), '{TERM}'))"
     idf = "(ln((total.n + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) + 1)"
+    pairs = "".join(f" OR (w[i] = '{x}' AND coalesce(w[i + 1], '') = '{y}')" for x, y in CUE_PAIRS)
+    places = ", ".join(f"[{size}, {before}]" for size, before in WINDOWS)
     return f"""
 WITH f AS (
   SELECT doc_id, coalesce(source, 'none') || '/' || CASE WHEN doc_id IS NULL THEN 'unnamed' ELSE floor(doc_id / 1000.0)::BIGINT || '/' || floor(doc_id / 50.0)::BIGINT % 20 || '/'
     || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END END AS path, text FROM documents
 ), l AS (
-  SELECT path, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), '{CUE}')) AS lines FROM f
+  SELECT path, regexp_extract_all(lower(text), '{TERM}') AS w FROM f WHERE regexp_matches(lower(text), '{CUE}')
+), c AS (
+  SELECT path, w, unnest([i FOR i IN range(1, len(w) + 1) IF regexp_matches(w[i], '{CUE_TERM}'){pairs}]) AS i FROM l
+), x AS (
+  SELECT path, w, i, unnest([{places}]) AS p FROM c
 ), p AS (
-  SELECT DISTINCT path, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, array_to_string(lines, ' ')) ELSE lines END) AS notice FROM l
+  SELECT DISTINCT path, array_to_string(w[greatest(i - p[2], 1):greatest(i - p[2], 1) + p[1] - 1], ' ') AS notice FROM x
+  UNION SELECT path, array_to_string(w, ' ') FROM l WHERE regexp_matches(path, '{LICENSE_FILE}')
 ), q AS (SELECT notice, count(*) AS n FROM p GROUP BY 1),
 total AS (SELECT coalesce(sum(n), 0)::DOUBLE AS n FROM q),
+tp AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, {terms.format("text")} AS term FROM (VALUES {quoted}) v(t, license, text)) GROUP BY 1, 2, 3),
 tm AS (SELECT notice, n, term, count(*) AS tf FROM (SELECT notice, n, {terms.format("notice")} AS term FROM q) GROUP BY 1, 2, 3),
-df AS (SELECT term, sum(n)::DOUBLE AS df FROM tm GROUP BY 1),
-own AS (SELECT notice, term, tf * {idf} AS w FROM tm JOIN df USING (term), total),
+df AS (SELECT term, sum(n)::DOUBLE AS df FROM tm WHERE term IN (SELECT term FROM tp) GROUP BY 1),
+ix AS (SELECT term, {idf} AS idf FROM (SELECT DISTINCT term FROM tp) LEFT JOIN df USING (term), total),
+own AS (SELECT notice, term, tf * coalesce(idf, 1) AS w FROM tm LEFT JOIN ix USING (term)),
 nm AS (SELECT notice, sqrt(sum(w * w)) AS norm FROM own GROUP BY 1),
-tp AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, {terms.format("text")} AS term FROM (VALUES {quoted}) v(t, license, text)) GROUP BY 1, 2, 3),
-tw AS (SELECT t, license, term, tf * {idf} AS tw FROM tp LEFT JOIN df USING (term), total),
+tw AS (SELECT t, license, term, tf * idf AS tw FROM tp JOIN ix USING (term)),
 tn AS (SELECT t, sqrt(sum(tw * tw)) AS tnorm FROM tw GROUP BY 1),
 sc AS (SELECT notice, t, license, round(sum(w * tw) / (max(norm) * max(tnorm)), 6) AS score FROM own JOIN tw USING (term) JOIN nm USING (notice) JOIN tn USING (t) GROUP BY 1, 2, 3),
 bs AS (SELECT notice, license, score FROM (SELECT *, row_number() OVER (PARTITION BY notice ORDER BY score DESC, t) AS k FROM sc WHERE score >= {THRESHOLD}) WHERE k = 1),

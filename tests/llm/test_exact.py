@@ -412,6 +412,21 @@ def test_mixed_rows_of_equal_ids_and_clashing_names(spark):
     assert {r["size"] for r in mixing.copies(long).collect()} == {300_000, 1}
 
 
+def test_words_around_a_notice_do_not_dilute_it(spark):
+    """A licence sentence in a long line, across line ends, and at the end of a very long text; prose about permission is none."""
+    prose = " ".join(f"word{k}" for k in range(400))
+    files = [
+        ("a/1.js", f"{prose} Released under the MIT License. {prose}"),
+        ("b/2.js", "/* Licensed under the\n * Apache License,\n * Version 2.0. */" + prose),
+        ("c/3.txt", "x " * 300_000 + "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("d/4.txt", f"{prose} they had permission to go and asked for a license for the dog {prose}"),
+        ("e/5.txt", f"{prose}\rReleased under the MIT License."),
+        ("f/6.txt", "permission"),
+    ]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a/1.js": "MIT", "b/2.js": "Apache-2.0", "c/3.txt": "MPL-2.0", "d/4.txt": None, "e/5.txt": "MIT", "f/6.txt": None}
+
+
 def test_plans_of_native_operators_have_no_python(spark):
     docs = documents(spark, [(1, "a@b.cd Licensed under the MIT license")])
     for df in (pii.op8_personal_data(docs), pii.redact(docs), licenses.op7_license_scan(docs), mixing.op10_mix_sources(docs), mixing.mixed(docs)):
