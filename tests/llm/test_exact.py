@@ -412,6 +412,14 @@ def test_mixed_rows_of_equal_ids_and_clashing_names(spark):
     assert {r["size"] for r in mixing.copies(long).collect()} == {300_000, 1}
 
 
+def test_ties_between_licences_and_paths(spark):
+    """Equal scores go to the smaller path of a directory; rows of one path share their notices."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    files = [("a/LICENSE-2", mit), ("a/LICENSE-1", apache), ("a/x.txt", None), ("b/y.txt", mit), ("b/y.txt", "nothing"), ("/z.txt", "")]
+    got = sorted(((r.path, r.license, r.how, r.from_dir) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()), key=str)
+    assert got == [("/z.txt", None, "none", None), ("a/LICENSE-1", "Apache-2.0", "notice", None), ("a/LICENSE-2", "MIT", "notice", None), ("a/x.txt", "Apache-2.0", "inherited", "a"), ("b/y.txt", "MIT", "notice", None), ("b/y.txt", "MIT", "notice", None)]
+
+
 def test_words_around_a_notice_do_not_dilute_it(spark):
     """A licence sentence in a long line, across line ends, and at the end of a very long text; prose about permission is none."""
     prose = " ".join(f"word{k}" for k in range(400))

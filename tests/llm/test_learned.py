@@ -61,6 +61,14 @@ def test_mixture_proportions_and_language_set(spark):
     assert [(got[k].lang_pred, got[k].score) for k in (1002, 1003, None)] == [("und", 0.0)] * 3
 
 
+def test_languages_of_nothing_and_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "aa ab ba", "x", "s", "c"), (1, "aa ab ba", "x", "s", "c"), (2, "zz zy yz", "y", "s", "c"), (None, "zy zz", "y", "s", "c")], DOCS)
+    assert language.op2_language(docs.limit(0)).count() == 0
+    got = language.predicted(docs).collect()
+    assert [r.lang_pred for r in got if r.doc_id == 1] == ["x", "x"] and len(got) == 4
+    assert {r.lang_pred for r in language.predicted(docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "score")).collect()} == {"und"}
+
+
 def test_language_sets_against_a_plain_loop():
     """The batched steps against expectation-maximisation one text at a time."""
     rng = np.random.default_rng(2)
