@@ -99,6 +99,7 @@ def contained(items: DataFrame, documents: DataFrame, block_bytes: int = 8 << 20
     return reduce(DataFrame.union, [found(k) for k in range(blocks)])
 
 
+# The markup of figures and of links to them is part of the contract; fixed values.
 def figure_html(seq: Column, page: Column, filename: Column, anchor: Column) -> Column:
     alt = F.coalesce(F.concat(F.lit("Figure "), seq), F.concat(F.lit("Image from page "), page))
     return F.concat(F.lit('<figure class="chapter-image" id="'), anchor, F.lit('">\n  <img src="images/'), filename, F.lit('" alt="'), alt, F.lit('"/>\n</figure>'))

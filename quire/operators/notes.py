@@ -72,6 +72,7 @@ def numbers(text: Column, names: Iterable[str] = ("bracket", "paren")) -> Column
     return F.filter(F.transform(every, lambda x: x.cast("int")), lambda n: n.between(1, 99))
 
 
+# The markup of links, notes and links back is part of the contract; fixed values.
 def link(df: DataFrame, text: str, notes_file: Column, names: Iterable[str] = DEFAULT, out: str | None = None) -> DataFrame:
     """``text`` with its references as hyperlinks into ``notes_file``; unchanged where that is null."""
     rows = references(df, text, names, "_refs")
