@@ -84,14 +84,14 @@ def _notices(text: Column, path: Column) -> Column:
 
 
 def _best(notices: DataFrame, threshold: float) -> DataFrame:
-    """(notice, license, score) of notices (notice, n) that come near a template.
+    """(id, license, score) of notices (id, notice, n) that come near a template.
 
     The templates' vocabulary is a table of fixed size, and so is all that is broadcast.
     """
     templates = _templates(notices.sparkSession)
     words = templates.select("term").distinct().withColumn("known", F.lit(True))
     total = notices.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
-    terms = notices.select("notice", "n", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("notice", "n", "term").agg(F.count("*").alias("tf"))
+    terms = notices.select("id", "n", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
     terms = checkpointed(terms.join(F.broadcast(words), "term", "left"))
     df = terms.where("known").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(float(total)) + 1) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1
@@ -99,12 +99,12 @@ def _best(notices: DataFrame, threshold: float) -> DataFrame:
     norms = templates.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     weights = F.broadcast(templates.select("term", "idf").distinct())
     own = terms.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    lengths = own.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = own.where("known").join(F.broadcast(templates.select("t", "license", "term", "tw")), "term").groupBy("notice", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    near = dots.join(F.broadcast(norms), "t").join(lengths, "notice")
+    lengths = own.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = own.where("known").join(F.broadcast(templates.select("t", "license", "term", "tw")), "term").groupBy("id", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    near = dots.join(F.broadcast(norms), "t").join(lengths, "id")
     near = near.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6)).where(F.col("score") >= threshold)
     first = F.struct((-F.col("score")).alias("s"), "t")
-    return near.groupBy("notice").agg(F.min_by("license", first).alias("license"), F.max("score").alias("score"))
+    return near.groupBy("id").agg(F.min_by("license", first).alias("license"), F.max("score").alias("score"))
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -119,10 +119,12 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     kept = [c for c in files.columns if c == "doc_id"]
     rows = files.select(F.coalesce("path", F.lit("")).alias("path"), "text", *kept)
-    found = checkpointed(rows.select("path", F.explode(_notices(F.col("text"), F.col("path"))).alias("notice")).distinct())  # few rows; texts are read once
-    best = checkpointed(_best(found.groupBy("notice").agg(F.count("*").alias("n")), threshold))
-    better = F.struct((-F.col("score")).alias("s"), "license", "notice")
-    own = checkpointed(found.join(best, "notice").groupBy("path").agg(F.min_by("license", better).alias("license"), F.max("score").alias("score")))
+    # Few rows, and texts are read once. From here on a notice is the hash of its terms; its text isn't repeated with each term.
+    found = rows.select("path", F.explode(_notices(F.col("text"), F.col("path"))).alias("notice"))
+    found = checkpointed(found.select("path", F.xxhash64("notice").alias("id"), "notice").dropDuplicates(["path", "id"]))
+    best = checkpointed(_best(found.groupBy("id").agg(F.first("notice").alias("notice"), F.count("*").alias("n")), threshold))
+    better = F.struct((-F.col("score")).alias("s"), "license")
+    own = checkpointed(found.select("path", "id").join(best, "id").groupBy("path").agg(F.min_by("license", better).alias("license"), F.max("score").alias("score")))
 
     directory = F.regexp_replace("path", "/?[^/]*$", "").alias("dir")
     first = F.struct((-F.col("score")).alias("s"), "path")
