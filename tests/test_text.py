@@ -1,9 +1,12 @@
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as fn
+from quire.plans import registry
+from quire.sources import epub
 
 
 def one(spark, column, value):
@@ -57,3 +60,15 @@ def test_nfkc_is_that_of_the_standard_library(spark):
 def test_rename_extension(spark):
     df = spark.createDataFrame([("a.b.png", "jpeg"), ("x", "GIF")], "f string, e string")
     assert [r[0] for r in df.select(fn.rename_extension(F.col("f"), F.col("e"))).collect()] == ["a.b.jpg", "x.gif"]
+
+
+def test_references_without_semicolon_stay_as_in_sql(spark):
+    values = ["<title>a &amp;&amp; b&amp</title><p>&lt;&am</p>x &quot y &copyz; &amp;lt; & z&#39;", "&amp", "<p>1 &lt 2</p>&", "\ue000&ampb", ""]
+    df = spark.createDataFrame(list(enumerate(values)), "page_id int, html string")
+    got = {r.page_id: r.text for r in epub.with_text(df).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id INT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(values)))
+    assert got == dict(con.execute(registry.oracle_sql()["html_text"]).fetchall())
+    assert got[0] == "a && b&amp <&am x &quot y &copyz; &lt; & z'"
+    assert epub.html_to_text("<p>&nbsp;&eacute;&#233;&#xe9;&notit;</p>") == "ééé&notit;"
