@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import comparison_form, normalize_whitespace, snippet, strip, tokens
-from quire.runtime import map_arrow
+from quire.runtime import map_arrow, ship
 
 CHUNK, OVERLAP = 600, 100
 WINDOW = 10_000
@@ -221,6 +221,7 @@ def _lis(values) -> int:
 
 def lis_length(values: Column) -> Column:
     """Length of the longest strictly increasing subsequence of an array (0 for an empty one), by binary search."""
+    ship(SparkSession.active())  # a function takes along what was handed over before it
 
     @F.pandas_udf("int")
     def length(arrays: pd.Series) -> pd.Series:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import word_count
@@ -93,6 +93,22 @@ def conversion_stats(sources: DataFrame, targets: DataFrame, chapters: DataFrame
     return rows
 
 
+def tenths(x: Column) -> Column:
+    """``x``, 0 or more, to one decimal by its exact binary value, ties to even, as C's printf has it.
+
+    ``bround`` and Java's formats round the shortest decimal: 0.05, which is a bit more than that,
+    becomes 0.0. Here 16 x + 4 x = 20 x comes as a sum and the exact rest that its rounding left;
+    the rest decides where the sum is an odd whole number, the middle between two tenths.
+    """
+    a, b = x * 16, x * 4
+    total = a + b
+    rest = b - (total - a)
+    whole = F.floor(total)
+    above = F.floor((whole + 1) / 2)
+    down = (total == whole) & (whole % 2 == 1) & ((rest < 0) | ((rest == 0) & (above % 2 == 1)))
+    return F.when(down, above - 1).otherwise(above) / 10.0
+
+
 def summary_text(stats: DataFrame) -> DataFrame:
     """(doc_id, report): statistics as lines of text, an alert for notes without links, and a verdict; all images must be there."""
     passed = (F.col("completeness") >= fidelity.PASS_COMPLETENESS) & (F.col("order_score") >= fidelity.PASS_ORDER) & (F.col("target_images") >= F.col("source_images"))
@@ -100,14 +116,14 @@ def summary_text(stats: DataFrame) -> DataFrame:
         "Words: %s of %s (%.1f%%)\nChapters: %d, headings: %d, notes: %d\nImages: %d of %d\nCompleteness: %.1f%%, order: %.1f%%\n%s%s",
         F.format_number("target_words", 0),
         F.format_number("source_words", 0),
-        F.bround("words_kept", 1),
+        tenths(F.col("words_kept")),
         "chapters",
         "headings",
         "notes",
         "target_images",
         "source_images",
-        F.bround("completeness", 1),
-        F.bround("order_score", 1),
+        tenths(F.col("completeness")),
+        tenths(F.col("order_score")),
         F.when(F.col("n_linked") < F.col("n_notes"), F.format_string("ALERT: %d of %d notes are linked\n", "n_linked", "n_notes")).otherwise(""),
         F.when(passed, "PASS").otherwise("NEEDS REVIEW"),
     )

@@ -1,6 +1,9 @@
 import bisect
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 
 import pytest
@@ -167,3 +170,27 @@ def test_reconcile_and_report(spark):
     rows = fidelity.reconcile(docs, 40, 0).collect()
     assert {r.resolution for r in rows} <= {"approximate"}
     assert '"status":' in fidelity.report(docs).collect()[0].report
+
+
+def test_report_figures_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    values = [k * 100.0 / n for n in (3, 16, 80, 2000, 6000) for k in range(0, 2 * n, 1 + n // 3000)]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "doc_id int, words_kept double")
+    others = {c: F.lit(1).cast("long") for c in ("target_words", "source_words", "chapters", "headings", "notes", "target_images", "source_images", "n_linked", "n_notes")}
+    rows = rows.withColumns(others | {"completeness": F.col("words_kept"), "order_score": F.col("words_kept")})
+    got = {r.doc_id: re.findall(r"(\d+\.\d)%", r.report) for r in validate.summary_text(rows).collect()}
+    con = duckdb.connect()
+    assert got == {k: [con.execute("SELECT format('{:.1f}', ?::DOUBLE)", [v]).fetchone()[0]] * 3 for k, v in enumerate(values)}
+    assert got[values.index(0.05)][0] == "0.1"
+
+
+def test_increasing_runs_take_the_package_along(tmp_path):
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""import sys; sys.path.insert(0, {here!r})
+from pyspark.sql import SparkSession, functions as F
+from quire.operators import fidelity
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.range(1).select(fidelity.lis_length(F.array(F.lit(1), F.lit(3), F.lit(2)))).collect()[0][0] == 2"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=False).returncode == 0
