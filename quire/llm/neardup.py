@@ -3,16 +3,15 @@
 The share of differing fingerprint bits estimates the angle between two sets of shingles; sets with
 a Jaccard similarity s of equal size have the cosine 2s / (1 + s). 64 bits are too few to tell 0.8
 from 0.7, and so few of such pairs differ in 4 bits or less that blocks of 64 bits find hardly any.
-Here a fingerprint has 1,024 bits, over a text's different shingles:
+Here a fingerprint has 1,024 bits, over a text's different shingles, and only proposes pairs:
 
 1. Texts become fingerprints (vectorised Python over Arrow); equal fingerprints are one node.
-2. A fingerprint is split into blocks of 24 bits in ``SPLITS`` ways. Pairs that share a block are
-   compared; a pair with fewer differing bits than a split has blocks shares one for certain, and
-   farther ones by chance, the likelier the closer they are (README has what is found).
-3. Nodes meet by block, key by key; large groups in chunks, each pair of chunks a group of its
-   own. Within a group every pair is decided, by its Hamming distance or, where a dense group
-   makes it needless, by a shared neighbour; what comes out is a spanning forest.
-4. Components as in ``simhash``, in two steps; the group's smallest document stays.
+2. Dense groups first: nodes that share one of a few blocks of 24 bits meet, large groups in
+   chunks. Within a group a spanning forest of the near ones is found, and its edges are checked.
+3. Then nodes meet under ``KEYS`` samples of 20 bits each. Every pair that isn't connected yet and
+   whose distance a similarity of 0.8 can have, six standard deviations of it included, is checked.
+4. A check compares the two sets of shingles; links are pairs at the similarity or above, no others.
+5. Components as in ``simhash``; the group's smallest document stays.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quire.llm.common import LOWER, NONSPACE, free_name, mix64, pieces, row_counts, runs, span_hashes
+from quire.llm.common import LOWER, NONSPACE, free_name, maybe_marked, mix64, pieces, row_counts, runs, span_hashes
 from quire.llm.simhash import components
 from quire.runtime import checkpointed, map_arrow
 
@@ -34,11 +33,16 @@ SHINGLE = 5
 SIMILARITY = 0.8
 WORDS64 = 16
 BYTES = 8 * WORDS64
-SPLITS = 2
-BLOCKS = BYTES // 3
 CHUNK = 4096
-#: Blocks whose links are joined up before those of the others are looked for.
-EARLY = 12
+#: Blocks of three bytes whose links are joined up at a time, before other pairs are looked for, and how often.
+EARLY, ROUNDS = 12, 3
+#: Each of ``TABLES`` orders of a fingerprint's bits is cut into samples of ``KEY_BITS``.
+KEY_BITS, TABLES = 20, 4
+KEYS = 8 * BYTES // KEY_BITS * TABLES
+#: Standard deviations of a distance that are allowed for.
+SPREAD = 6
+#: Of the 64 bits that nodes carry to their keys, as many may differ in a pair that is looked at more closely.
+SKETCH = 23
 #: Rows that a task gathers before it looks for links; whole groups only.
 FLUSH_ROWS = 50_000
 #: Groups up to this size are compared row by row, all groups at once.
@@ -46,8 +50,9 @@ SMALL = 48
 
 _U64 = np.uint64
 _SALTS = mix64(np.arange(1, WORDS64 + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
-#: The bytes of each block: three in a row, and three that lie a third of the fingerprint apart.
-_PLACES = np.concatenate([np.arange(3 * BLOCKS).reshape(BLOCKS, 3), np.arange(3 * BLOCKS).reshape(3, BLOCKS).T])[: SPLITS * BLOCKS]
+_PLACES = np.arange(3 * EARLY * ROUNDS).reshape(-1, 3)
+#: The bits of each sample.
+_SAMPLES = np.concatenate([np.argsort(mix64(np.arange(8 * BYTES, dtype=_U64) + _U64(8 * BYTES * (k + 1))))[: KEYS // TABLES * KEY_BITS].reshape(-1, KEY_BITS) for k in range(TABLES)])
 
 
 def most_bits(similarity: float) -> int:
@@ -55,6 +60,12 @@ def most_bits(similarity: float) -> int:
     return int(8 * BYTES * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
 
 
+def farthest_bits(similarity: float) -> int:
+    """Differing bits that hardly any two sets of this similarity exceed."""
+    most = most_bits(similarity)
+    return most + math.ceil(SPREAD * math.sqrt(most * (1 - most / (8 * BYTES))))
+
+
 def _shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the different shingles of some texts, and each text's first one. Words are as op6 has them."""
     low = LOWER[raw]
@@ -116,19 +127,78 @@ def _with_fingerprints(at: int, shingle: int, name: str):
     return add
 
 
-def _keys(first: int, last: int):
-    """(key, node, root): the numbers and the 24 bits of some blocks."""
+def _keys(first: int):
+    """(key, node, root): the numbers and the 24 bits of ``EARLY`` blocks."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                parts = _bytes(batch.column(1))[:, _PLACES[first:last]].astype(np.int64)
-                found = np.arange(first, last) << 24 | parts[..., 0] << 16 | parts[..., 1] << 8 | parts[..., 2]
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *[pa.array(np.repeat(batch.column(k).to_numpy(), last - first)) for k in (0, 2)]], ["key", "node", "root"])
+                parts = _bytes(batch.column(1))[:, _PLACES[first : first + EARLY]].astype(np.int64)
+                found = np.arange(EARLY) << 24 | parts[..., 0] << 16 | parts[..., 1] << 8 | parts[..., 2]
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *[pa.array(np.repeat(batch.column(k).to_numpy(), EARLY)) for k in (0, 2)]], ["key", "node", "root"])
 
     return keys
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, root, sketch): the number and the bits of each sample, and 64 bits of the fingerprint."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            rows = _bytes(batch.column(1))
+            bits = np.unpackbits(rows, axis=1, bitorder="little")
+            found = np.tile(np.arange(KEYS) << KEY_BITS, (len(rows), 1))
+            for k in range(KEY_BITS):
+                found |= bits[:, _SAMPLES[:, k]].astype(np.int64) << k
+            others = (batch.column(0).to_numpy(), batch.column(2).to_numpy(), rows.view(_U64)[:, 0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *[pa.array(np.repeat(x, KEYS)) for x in others]], ["key", "node", "root", "sketch"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): nodes of one key, which stand together, that have different roots and like sketches."""
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, node, root = rows[:3]
+        sketch = rows[3].view(_U64)
+        left, right, n = [], [], 0
+        first = np.arange(len(key))  # rows that still have a row of their key ``gap`` behind them
+        gap = 1
+        while True:
+            first = first[: np.searchsorted(first, len(key) - gap)]
+            first = first[key[first] == key[first + gap]]
+            if not len(first):
+                break
+            close = first[(root[first] != root[first + gap]) & (np.bitwise_count(sketch[first] ^ sketch[first + gap]) <= SKETCH)]
+            left.append(np.minimum(node[close], node[close + gap]))
+            right.append(np.maximum(node[close], node[close + gap]))
+            n += len(close)
+            gap += 1
+            if n >= FLUSH_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                left, right, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    def mixed(rows: np.ndarray) -> np.ndarray:
+        """Without the keys whose rows all have one root: they connect nothing, however many they are."""
+        heads = np.flatnonzero(np.diff(rows[0], prepend=-1))
+        same = np.minimum.reduceat(rows[2], heads) == np.maximum.reduceat(rows[2], heads)
+        return rows[:, ~np.repeat(same, np.diff(np.append(heads, rows.shape[1])))]
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([c.to_numpy() for c in batch.columns]))
+        n += batch.num_rows
+        if n >= FLUSH_ROWS:
+            rows = np.concatenate(held, axis=1)
+            end = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on in the next batch
+            if end:
+                yield from pairs(mixed(rows[:, :end]))
+            held, n = [rows[:, end:]], n - end if end else 0
+    if held and (rows := np.concatenate(held, axis=1)).size:
+        yield from pairs(mixed(rows))
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -202,14 +272,16 @@ def _links(most: int):
         def flush(n: int) -> pa.RecordBatch:
             new = np.ones(n, dtype=np.int64)
             new[1:] = (ids[1:n, :3] != ids[: n - 1, :3]).any(axis=1)
-            a, b = _decided(np.cumsum(new), ids[:n, 3], bits[:n], most)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0).reshape(-1, 2)
+            a, b = _decided(np.cumsum(new), np.arange(n), bits[:n], most)
+            differ = ids[a, 3] != ids[b, 3]
+            a, b = ids[a[differ], 4], ids[b[differ], 4]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-        ids, bits = np.zeros((0, 4), dtype=np.int64), np.zeros((0, WORDS64), dtype=_U64)
+        ids, bits = np.zeros((0, 5), dtype=np.int64), np.zeros((0, WORDS64), dtype=_U64)
         for batch in batches:
-            ids = np.concatenate([ids, np.stack([c.to_numpy() for c in batch.columns[:4]], axis=1).astype(np.int64)])
-            bits = np.concatenate([bits, _bytes(batch.column(4)).view(_U64)])
+            ids = np.concatenate([ids, np.stack([c.to_numpy() for c in batch.columns[:5]], axis=1).astype(np.int64)])
+            bits = np.concatenate([bits, _bytes(batch.column(5)).view(_U64)])
             if len(ids) >= FLUSH_ROWS:
                 others = np.flatnonzero((ids[:, :3] != ids[-1, :3]).any(axis=1))
                 if len(others):  # the last group may go on in the next batch
@@ -222,37 +294,94 @@ def _links(most: int):
     return stream
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, first: int = 0, last: int = len(_PLACES)) -> DataFrame:
-    """Edges (a, b) between roots of nodes (node, fp, root) that connect what all links by the given blocks connect.
+def links(nodes: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, first: int = 0) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp, root) with different roots: a forest of what is near in the early blocks from ``first`` on.
 
     Keys under which all nodes have one root are left out: they connect nothing.
     """
-    rows = map_arrow(nodes.select("node", "fp", "root"), _keys(first, last), "key long, node long, root long")
+    rows = map_arrow(nodes.select("node", "fp", "root"), _keys(first), "key long, node long, root long")
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     shared = shared.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     rows = rows.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root")
-    rows = rows.join(nodes.select("node", "fp"), "node").select("key", "i", "j", "root", "fp")
+    rows = rows.join(nodes.select("node", "fp"), "node").select("key", "i", "j", "root", "node", "fp")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root")
     return map_arrow(rows, _links(most_bits(similarity)), "a long, b long")
 
 
-def grouped(nodes: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp, root) with different roots that may have the similarity; see the module."""
+    rows = map_arrow(nodes.select("node", "fp", "root"), _sampled, "key long, node long, root long, sketch long")
+    pairs = map_arrow(rows.repartition("key").sortWithinPartitions("key"), _met, "a long, b long").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}")), side)
+    return map_arrow(pairs.select("a", "b", "fp_a", "fp_b"), _near(farthest_bits(similarity)), "a long, b long")
+
+
+def _near(most: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = _distance(_bytes(batch.column(2)).view(_U64), _bytes(batch.column(3)).view(_U64))
+            yield batch.filter(pa.array(far <= most)).select([0, 1])
+
+    return near
+
+
+def _sets(shingle: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, offsets in pieces(batch.column(1)):
+                hashes, first = _shingles(raw, offsets, shingle)
+                found = [hashes[first[k] : first[k + 1]].tobytes() for k in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, type=pa.binary())], ["node", "s"])
+
+    return sets
+
+
+def _alike(similarity: float):
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=_U64), np.frombuffer(y.as_buffer(), dtype=_U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield batch.filter(pa.array(keep)).select([0, 1])
+
+    return alike
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (a, b), each there once, whose ``texts`` (node, text) have the similarity, by their sets of shingles."""
+    pairs = checkpointed(pairs)
+    some = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = checkpointed(map_arrow(maybe_marked(texts, some, "node"), _sets(shingle), "node long, s binary"))  # no text is shuffled here
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
+    return checkpointed(map_arrow(pairs.select("a", "b", "s_a", "s_b"), _alike(similarity), "a long, b long"))
+
+
+def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``nodes`` (node, fp, root) with ``name``: the smallest root that each one's own reaches by ``edges`` of nodes."""
+    for side in ("a", "b"):
+        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("root").alias(f"r_{side}")), side)
+    tops = components(edges.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))).select(F.col("node").alias("_of"), F.col("root").alias("_top"))
+    return nodes.join(tops, F.col("root") == F.col("_of"), "left").withColumn(name, F.coalesce("_top", "root")).drop("_of", "_top")
+
+
+def grouped(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """``nodes`` (node, fp) with top, the smallest node that each one's links reach.
 
-    The links of some blocks come first, and every node takes its smallest neighbour's name. Those
-    of the other blocks are looked for only under keys where different names still meet, and link
-    names, so that a dense group isn't worked through node by node and block by block.
+    Forests of the early blocks join up dense groups, so that those aren't worked through pair by
+    pair. Then every candidate with different roots is checked, whatever the forests left out.
     """
-    early = checkpointed(links(nodes.withColumn("root", F.col("node")), similarity, chunk, 0, EARLY).distinct())
-    both = early.union(early.select("b", "a"))
-    least = both.groupBy(F.col("a").alias("of")).agg(F.least(F.min("b"), F.col("of")).alias("name"))
-    named = checkpointed(nodes.join(least, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("name", "node")).drop("of", "name"))
-    at = {c: least.select(F.col("of").alias(c), F.col("name").alias(f"name_{c}")) for c in ("a", "b")}
-    early = early.join(at["a"], "a").join(at["b"], "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
-    tops = components(links(named, similarity, chunk, EARLY).union(early)).select(F.col("node").alias("of"), F.col("root").alias("top"))
-    return named.join(tops, F.col("root") == F.col("of"), "left").withColumn("top", F.coalesce("top", "root")).drop("of", "root")
+    named = nodes.withColumn("root", F.col("node"))
+    for k in range(ROUNDS):
+        early = verified(links(named, similarity, chunk, k * EARLY).distinct(), texts, shingle, similarity)
+        named = checkpointed(_joined(named, early, "root"))
+    late = verified(candidates(named, similarity), texts, shingle, similarity)
+    return _joined(named, late, "top").drop("root")
 
 
 def representatives(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
@@ -271,6 +400,6 @@ def representatives(documents: DataFrame, shingle: int = SHINGLE, similarity: fl
     rows = checkpointed(map_arrow(numbered, _with_fingerprints(documents.columns.index("text"), shingle, fp), schema))
     best = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col(row).alias("row"))
     nodes = checkpointed(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(row).alias("node"), F.min(best).alias("best")))
-    groups = grouped(nodes, similarity, chunk).groupBy("top").agg(F.min("best").alias("best"))
+    groups = grouped(nodes, rows.select(F.col(row).alias("node"), "text"), shingle, similarity, chunk).groupBy("top").agg(F.min("best").alias("best"))
     keep = groups.select(F.col("best.row").alias(row))
     return rows.join(keep.hint("shuffle_hash"), row, "left_semi").select(*[f"`{c}`" for c in documents.columns])

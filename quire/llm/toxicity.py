@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, WORD, checkpointed, pieces, remainder, row_counts, runs, span_hashes
+from quire.llm.common import LOWER, WORD, checkpointed, maybe_marked, pieces, remainder, row_counts, runs, span_hashes
 from quire.runtime import map_arrow
 
 #: A word's pairs are dealt out in so many parts, so that a common word isn't one task's.
@@ -43,8 +43,6 @@ CURVE_FOLDS, CURVE_FOLD = 3, 1
 #: Most documents that the curve is fitted on, by their hashed ids.
 CURVE_SAMPLE = 6000
 THRESHOLD = 0.3
-#: Bits of the map of labelled ids that keeps other texts out of the shuffle; 8 MB at any size of the corpus.
-MAP_BITS = 1 << 26
 #: Word pairs that a task gathers before it passes their sums on.
 HELD_PAIRS = 1 << 20
 
@@ -148,31 +146,6 @@ def _learned(counted: DataFrame) -> tuple[Excess, Excess]:
     return out[0], out[1]
 
 
-def _kept(shared):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((shared.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool))).select([0, 1])
-
-    return keep
-
-
-def _maybe_marked(documents: DataFrame, marks: DataFrame) -> DataFrame:
-    """doc_id and text of all documents of ``marks``, and of few others, without a shuffle.
-
-    The ids' hashes are set in a map of fixed size. The more ids there are, the more others pass;
-    a join has to follow.
-    """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    one = F.expr("shiftleft(1L, cast(b & 31 as int))")
-    got = marks.select(bit.alias("b")).select(F.shiftright("b", 5).alias("w"), one.alias("one")).groupBy("w").agg(F.bit_or("one").alias("bits")).toArrow()
-    bits = np.zeros(MAP_BITS >> 5, dtype=np.uint32)
-    bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    shared = documents.sparkSession.sparkContext.broadcast(bits)
-    schema = documents.select("doc_id", "text").schema
-    return map_arrow(documents.select("doc_id", "text", bit.alias("bit")), _kept(shared), schema)
-
-
 @dataclass
 class Model:
     excess: Excess
@@ -232,7 +205,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = CURVE_SAMPLE) ->
     marks = marks.groupBy("h").agg(F.when(votes > 0, 1).when(votes < 0, 0).otherwise(F.min_by("toxic", "doc_id")).alias("toxic"), F.min("doc_id").alias("doc_id"))
     curve = F.pmod(F.xxhash64("doc_id"), F.lit(CURVE_FOLDS)) == CURVE_FOLD
     marks = checkpointed(marks.select("doc_id", F.when(F.col("toxic") != 0, 1).otherwise(0).alias("toxic"), curve.cast("int").alias("curve")).distinct())
-    texts = _maybe_marked(learn, marks).join(marks, "doc_id")
+    texts = maybe_marked(learn, marks, "doc_id").join(marks, "doc_id")
     counted = map_arrow(texts.select((F.col("toxic") * 2 + F.col("curve")).alias("kind"), "text"), _word_pairs, "word long, before int, kind int, n long")
     some_words, all_words = _learned(counted)
     without = documents.sparkSession.sparkContext.broadcast(some_words)

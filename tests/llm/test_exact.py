@@ -237,6 +237,30 @@ def test_representatives_against_shingle_similarity(spark):
         assert kept == list(range(40)) + [i for i, _ in far]
 
 
+def test_representatives_at_the_threshold(spark):
+    """Every pair at 0.8 or just above is a pair of copies, none just below is."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    rows_, gone = [], []
+    for k in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 300))]
+        other = list(base)
+        above = k % 2 == 0
+        while True:  # words are changed as long as the similarity stays above, or until it is below
+            tried = list(other)
+            tried[rng.randrange(len(tried))] = "new" + rng.choice(vocabulary)
+            near = similarity(" ".join(base), " ".join(tried)) >= 0.8
+            if above and not near:
+                break
+            other = tried
+            if not near:
+                break
+        rows_ += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        gone += [2 * k + 1] if above else []
+    kept = {r.doc_id for r in neardup.representatives(documents(spark, rows_)).collect()}
+    assert set(range(300)) - kept == set(gone)
+
+
 def test_dense_groups_lose_no_link():
     """Clusters along a chain of fingerprints, against all pairs."""
     rng = np.random.default_rng(12)
