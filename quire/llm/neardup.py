@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quire.llm.common import LOWER, NONSPACE, free_name, maybe_marked, mix64, pieces, row_counts, runs, span_hashes
 from quire.llm.simhash import components
-from quire.runtime import checkpointed, map_arrow
+from quire.runtime import checkpointed, gathered, map_arrow
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -354,12 +354,12 @@ def _alike(similarity: float):
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Those of ``pairs`` (a, b), each there once, whose ``texts`` (node, text) have the similarity, by their sets of shingles."""
-    pairs = checkpointed(pairs)
+    pairs = gathered(pairs, dealt=True)
     some = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sets = checkpointed(map_arrow(maybe_marked(texts, some, "node"), _sets(shingle), "node long, s binary"))  # no text is shuffled here
+    sets = checkpointed(maybe_marked(texts, some, "node", _sets(shingle), "node long, s binary"))  # no text is shuffled here
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
-    return checkpointed(map_arrow(pairs.select("a", "b", "s_a", "s_b"), _alike(similarity), "a long, b long"))
+    return gathered(map_arrow(pairs.select("a", "b", "s_a", "s_b"), _alike(similarity), "a long, b long"), dealt=True)
 
 
 def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -379,7 +379,7 @@ def grouped(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similari
     named = nodes.withColumn("root", F.col("node"))
     for k in range(ROUNDS):
         early = verified(links(named, similarity, chunk, k * EARLY).distinct(), texts, shingle, similarity)
-        named = checkpointed(_joined(named, early, "root"))
+        named = gathered(_joined(named, early, "root"))
     late = verified(candidates(named, similarity), texts, shingle, similarity)
     return _joined(named, late, "top").drop("root")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bytes_of, checkpointed
-from quire.runtime import map_arrow
+from quire.runtime import gathered, map_arrow
 
 SHINGLE = 4
 SEED = 42
@@ -181,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds until nothing changes. Every aggregate combines before its
     shuffle, and a hub's many edges are a skewed join that Spark splits.
     """
-    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    edges = gathered(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     state = None
     while True:  # a round at least halves the longest chain, so there are few
         # Large star: of all neighbours, the larger ones go to the smallest.
@@ -191,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: smaller neighbours and the node itself go to the smallest of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(least.select(F.col("m"), F.col("b"))).where("x < y")
-        edges = checkpointed(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        edges = gathered(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

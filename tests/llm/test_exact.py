@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, licenses, mixing, neardup, pii, queries, simhash, topk
+from quire.llm import common, decontaminate, licenses, mixing, neardup, pii, queries, simhash, topk
 from tests.llm.helpers import DATA, duck, have_data, rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, copy_no int"
@@ -177,6 +177,27 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
+def test_small_tables_are_few_files(spark):
+    """However many partitions a shuffle has: on a local file system each file costs two processes, started from the executor."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+        roots = simhash.components(edges)
+        assert roots.rdd.getNumPartitions() <= 4 and {r.root for r in roots.collect()} == {0}
+        texts = spark.createDataFrame([(k, "one two three four five six seven" + " eight" * (k % 2)) for k in range(40)], "node long, text string")
+        pairs = neardup.verified(edges.where("b < 40").distinct(), texts, similarity=0.7)
+        assert pairs.rdd.getNumPartitions() <= 4 and pairs.count() == 39
+        marked = common.maybe_marked(texts, edges.select(F.col("a").alias("node")), "node", neardup._sets(5), "node long, s binary")
+        assert marked._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one Python worker for each task
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+
 def test_fingerprints_of_long_texts(monkeypatch):
     rng = random.Random(13)
     texts = [" ".join("".join(rng.choice("abÄ") for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 40, 200)] + ["x" * 300 + "\t\n y", "  \n", " a  b " * 30]
