@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import language, quality, toxicity
 from tests.llm.helpers import DATA, duck, have_data
@@ -164,6 +165,66 @@ def test_toxicity_scores_against_brute_force(spark):
         assert got[k] == pytest.approx(1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * x))), abs=1e-5)
 
 
+def brute_pair_figures(learn, texts):
+    """The figure of each text at order two, by plain loops; ``learn`` has (toxic, text), each text once."""
+    words_of = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    counts, tokens, pairs = ({}, {}), ({}, {}), ({}, {})
+    for toxic, text in learn:
+        words = words_of(text)
+        for w in set(words):
+            counts[toxic][w] = counts[toxic].get(w, 0) + 1
+        for v, w in zip([None, *words], words, strict=False):
+            tokens[toxic][w] = tokens[toxic].get(w, 0) + 1
+            pairs[toxic][v, w] = pairs[toxic].get((v, w), 0) + 1
+    different = {*pairs[0], *pairs[1]}
+    preceders = {}
+    for _, w in different:
+        preceders[w] = preceders.get(w, 0) + 1
+    kept = [{}, {}]
+    for c in (0, 1):
+        for (v, _), n in pairs[c].items():
+            if v is not None and n > 1:
+                kept[c][v] = kept[c].get(v, 0) + n - 1
+    sums = [(sum(c.values()), sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())) for c in counts]
+
+    def alone(w, c):
+        total, once, twice = sums[c]
+        d = once / (once + 2 * twice) if once and twice else 0.75
+        shared = (preceders.get(w, 0) + 0.5) / (len(different) + 0.5 * (len(preceders) + 1))
+        return max(counts[c].get(w, 0) - d, 0) / total + d * len(counts[c]) / total * shared
+
+    def likelihood(v, w, c):
+        if v not in kept[0] or v not in kept[1]:
+            return alone(w, c)
+        left = max(1 - kept[k][v] / tokens[k][v] for k in (0, 1))
+        return left * alone(w, c) + (1 - left) * max(pairs[c].get((v, w), 0) - 1, 0) / kept[c][v]
+
+    out = []
+    for text in texts:
+        words = words_of(text)
+        there = set(zip([None, *words], words, strict=False))
+        out.append(sum(max(0.0, math.log(likelihood(v, w, 1) / likelihood(v, w, 0)) - toxicity.LIMIT) for v, w in there) / max(1, len(there)))
+    return out
+
+
+def test_toxicity_of_word_pairs_against_brute_force(spark):
+    """The query's models are of words after the word before, not of words alone."""
+    docs, labels = marked(spark, 200)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    docs = docs.withColumn("text", F.expr("concat_ws(' ', text, 'so very odd', if(doc_id % 3 = 0, 'you stale bread you old bread', 'you fresh bread you old man'))"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    learn = [(toxic[k], t) for k, t in rows.items() if zlib.crc32(str(k).encode()) % 4 != 2]
+    ask = ["", "you stale bread", "you old bread", "old bread", "bread", "you fresh bread", "Nasty, VILE nasty things", "nothing known here at all"]
+    more = spark.createDataFrame([(10_000 + k, t, None, "s", "x") for k, t in enumerate(ask)], DOCS)
+    texts = [*rows.values(), *ask]
+    figures, words = brute_pair_figures(learn, texts), brute_figures(learn, texts)
+    assert sum(abs(x - y) > 1e-3 for x, y in zip(figures, words, strict=True)) > 50
+    model = toxicity.fit(docs, labels, order=2)
+    got = {r.doc_id: r.score for r in toxicity.op5_toxicity(docs.union(more), labels).collect()}
+    for k, x in zip([*rows, *range(10_000, 10_000 + len(ask))], figures, strict=True):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * x))), abs=1e-5)
+
+
 @pytest.mark.parametrize(("data", "least"), [("/root/testdata/sf0.01", 0.85), ("/root/testdata/sf0.1", 0.94)])
 def test_toxicity_on_the_tables(spark, data, least):
     if not os.path.isdir(data):
