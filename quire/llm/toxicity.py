@@ -196,7 +196,7 @@ def _pairs(by_word: DataFrame, repeated: DataFrame, likely: dict[str, Column], o
     seen = by_word.groupBy(F.shiftrightunsigned("word", 32).alias("before")).agg(F.sum(F.expr(ordinary)).alias("seen_o"), F.sum(F.expr(toxic)).alias("seen_t"))
     left = F.greatest(*[1 - F.col(f"kept_{c}") / F.col(f"seen_{c}") for c in "ot"])
     contexts = kept.join(seen, "before").select("before", "kept_o", "kept_t", left.alias("left"))
-    rows = repeated.select("word", "before", *[x.alias(f"more_{c}") for c, x in more.items()]).where("more_o > 0 OR more_t > 0").join(F.broadcast(contexts), "before")  # fewer than the words that are broadcast
+    rows = repeated.select("word", "before", *[x.alias(f"more_{c}") for c, x in more.items()]).where("more_o > 0 OR more_t > 0").join(contexts, "before")
     rows = rows.join(by_word.select("word", *[x.alias(f"word_{c}") for c, x in likely.items()]), "word")
     t, o = (F.col("left") * F.col(f"word_{c}") + (1 - F.col("left")) * F.col(f"more_{c}") / F.col(f"kept_{c}") for c in "to")
     excess = lambda t, o: F.greatest(F.log(t) - F.log(o) - LIMIT, F.lit(0.0)).cast("float")
