@@ -10,6 +10,9 @@ Here a fingerprint has 1,024 bits, over a text's different shingles, and only pr
    chunks. Within a group a spanning forest of the near ones is found, and its edges are checked.
 3. Then nodes meet under ``KEYS`` samples of 20 bits each. Every pair that isn't connected yet and
    whose distance a similarity of 0.8 can have, six standard deviations of it included, is checked.
+   Under a key with more than ``DENSE`` such pairs a node no pairs are made: a forest of what is near
+   there gives areas, and an area's sets of shingles meet in one task, or in chunks of it two by two.
+   The first ``AHEAD`` samples give most areas, so that the others hardly see their nodes again.
 4. A check compares the two sets of shingles; links are pairs at the similarity or above, no others.
 5. Components as in ``simhash``; the group's smallest document stays.
 """
@@ -17,7 +20,7 @@ Here a fingerprint has 1,024 bits, over a text's different shingles, and only pr
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quire.llm.common import LOWER, NONSPACE, free_name, maybe_marked, mix64, pieces, row_counts, runs, span_hashes
-from quire.llm.simhash import components
+from quire.llm.simhash import _roots, components
 from quire.runtime import checkpointed, gathered, map_arrow
 
 SHINGLE = 5
@@ -43,6 +46,11 @@ KEYS = 8 * BYTES // KEY_BITS * TABLES
 SPREAD = 6
 #: Of the 64 bits that nodes carry to their keys, as many may differ in a pair that is looked at more closely.
 SKETCH = 23
+#: Pairs for each row of a key above which its rows go to an area and aren't made pairs.
+DENSE = 2
+AHEAD = 24
+#: Bytes of sets in a chunk of an area, about.
+AREA_BYTES = 8 << 20
 #: Rows that a task gathers before it looks for links; whole groups only.
 FLUSH_ROWS = 50_000
 #: Groups up to this size are compared row by row, all groups at once.
@@ -140,27 +148,37 @@ def _keys(first: int):
     return keys
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, root, sketch): the number and the bits of each sample, and 64 bits of the fingerprint."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            rows = _bytes(batch.column(1))
-            bits = np.unpackbits(rows, axis=1, bitorder="little")
-            found = np.tile(np.arange(KEYS) << KEY_BITS, (len(rows), 1))
-            for k in range(KEY_BITS):
-                found |= bits[:, _SAMPLES[:, k]].astype(np.int64) << k
-            others = (batch.column(0).to_numpy(), batch.column(2).to_numpy(), rows.view(_U64)[:, 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *[pa.array(np.repeat(x, KEYS)) for x in others]], ["key", "node", "root", "sketch"])
+def _sampled(first: int, end: int):
+    """(key, node, root, sketch): the numbers and the bits of some samples, and 64 bits of the fingerprint."""
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows = _bytes(batch.column(1))
+                bits = np.unpackbits(rows, axis=1, bitorder="little")
+                found = np.tile(np.arange(first, end) << KEY_BITS, (len(rows), 1))
+                for k in range(KEY_BITS):
+                    found |= bits[:, _SAMPLES[first:end, k]].astype(np.int64) << k
+                others = (batch.column(0).to_numpy(), batch.column(2).to_numpy(), rows.view(_U64)[:, 0].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *[pa.array(np.repeat(x, end - first)) for x in others]], ["key", "node", "root", "sketch"])
+
+    return sampled
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): nodes of one key, which stand together, that have different roots and like sketches."""
+    """(key, a, b): nodes of one key, which stand together, that have different roots and like sketches; pairs have the key -1.
+
+    A key with more than ``DENSE`` pairs a row gives its rows (key, node, root), so that what comes out grows with the rows.
+    """
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, node, root = rows[:3]
         sketch = rows[3].view(_U64)
-        left, right, n = [], [], 0
+        group = np.cumsum(np.diff(key, prepend=-1) != 0) - 1
+        most = DENSE * np.bincount(group)
+        found = np.zeros(len(most), dtype=np.int64)
+        left, right = [], []
         first = np.arange(len(key))  # rows that still have a row of their key ``gap`` behind them
         gap = 1
         while True:
@@ -169,15 +187,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(first):
                 break
             close = first[(root[first] != root[first + gap]) & (np.bitwise_count(sketch[first] ^ sketch[first + gap]) <= SKETCH)]
-            left.append(np.minimum(node[close], node[close + gap]))
-            right.append(np.maximum(node[close], node[close + gap]))
-            n += len(close)
+            if len(close):
+                np.add.at(found, group[close], 1)
+                left.append(close)
+                right.append(close + gap)
+                first = first[(found <= most)[group[first]]]
             gap += 1
-            if n >= FLUSH_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                left, right, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+        dense = (found > most)[group]
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = node[a[~dense[a]]], node[b[~dense[b]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), -1)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
+        if dense.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[dense]) for x in (key, node, root)], ["key", "a", "b"])
 
     def mixed(rows: np.ndarray) -> np.ndarray:
         """Without the keys whose rows all have one root: they connect nothing, however many they are."""
@@ -267,12 +289,19 @@ def _decided(group: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int) -
     return np.concatenate(left), np.concatenate(right)
 
 
-def _links(most: int):
+def _links(most: int, forest: bool = False):
+    """Edges (a, b) of what is near within groups: of different roots, or a ``forest`` that connects all of it."""
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(n: int) -> pa.RecordBatch:
             new = np.ones(n, dtype=np.int64)
             new[1:] = (ids[1:n, :3] != ids[: n - 1, :3]).any(axis=1)
             a, b = _decided(np.cumsum(new), np.arange(n), bits[:n], most)
+            if forest:
+                nodes, at = np.unique(ids[:n, 4], return_inverse=True)
+                root = _roots(len(nodes), at[a], at[b])
+                moved = np.flatnonzero(root != np.arange(len(nodes)))
+                return pa.RecordBatch.from_arrays([pa.array(nodes[root[moved]]), pa.array(nodes[moved])], ["a", "b"])
             differ = ids[a, 3] != ids[b, 3]
             a, b = ids[a[differ], 4], ids[b[differ], 4]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).reshape(-1, 2)
@@ -295,25 +324,62 @@ def _links(most: int):
 
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, first: int = 0) -> DataFrame:
-    """Pairs (a, b) of nodes (node, fp, root) with different roots: a forest of what is near in the early blocks from ``first`` on.
+    """Pairs (a, b) of nodes (node, fp, root) with different roots: a forest of what is near in the early blocks from ``first`` on."""
+    rows = map_arrow(nodes.select("node", "fp", "root"), _keys(first), "key long, node long, root long")
+    return _grouped_links(rows, nodes, _links(most_bits(similarity)), chunk)
+
+
+def _in_chunks(rows: DataFrame, name: str, more: list[str]) -> DataFrame:
+    """``rows`` (``name``, node, parts): each one's chunk of its group, ``mine``, meets every other, as i and j."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select(name, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *more)
+
+
+def _grouped_links(rows: DataFrame, nodes: DataFrame, function: Callable, chunk: int) -> DataFrame:
+    """What ``function`` makes of the rows (key, node, root) of each key, in chunks, with their fingerprints.
 
     Keys under which all nodes have one root are left out: they connect nothing.
     """
-    rows = map_arrow(nodes.select("node", "fp", "root"), _keys(first), "key long, node long, root long")
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     shared = shared.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    rows = rows.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root")
+    rows = _in_chunks(rows.join(shared, "key"), "key", ["node", "root"])
     rows = rows.join(nodes.select("node", "fp"), "node").select("key", "i", "j", "root", "node", "fp")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root")
-    return map_arrow(rows, _links(most_bits(similarity)), "a long, b long")
+    return map_arrow(rows, function, "a long, b long")
+
+
+def candidates(nodes: DataFrame, first: int = 0, end: int = KEYS) -> DataFrame:
+    """(key, a, b): pairs of nodes (node, fp, root) with different roots that may have the similarity, with the key -1, and the rows (key, node, root) of dense keys.
+
+    ``first`` and ``end`` tell the samples that are used.
+    """
+    rows = map_arrow(nodes.select("node", "fp", "root"), _sampled(first, end), "key long, node long, root long, sketch long")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), _met, "key long, a long, b long").distinct()
+
+
+def _outside(nodes: DataFrame, similarity: float, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``nodes`` (node, fp, root): (node, root, area), and the candidates (a, b) that aren't of one area.
+
+    An area is what roots and the forests under dense keys connect, so two nodes that are near under such a key have one area.
+    """
+    areas, found = nodes.select("node", "root", F.col("root").alias("area")), None
+    for first, end in ((0, AHEAD), (AHEAD, KEYS)):
+        seen = nodes.select("node", "fp").join(areas.select("node", F.col("area").alias("root")), "node") if first else nodes
+        met = gathered(candidates(seen, first, end), dealt=True)
+        dense = met.where("key >= 0").select("key", F.col("a").alias("node"), F.col("b").alias("root"))
+        forest = _grouped_links(dense, nodes, _links(farthest_bits(similarity), forest=True), chunk)
+        areas = gathered(_joined(areas, forest, "area", "area"))
+        pairs = met.where("key < 0").select("a", "b")
+        found = found.union(pairs) if first else pairs
+    pairs = found.distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(areas.select(F.col("node").alias(side), F.col("area").alias(f"area_{side}")), side)
+    return areas, pairs.where("area_a != area_b").select("a", "b")
 
 
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes (node, fp, root) with different roots that may have the similarity; see the module."""
-    rows = map_arrow(nodes.select("node", "fp", "root"), _sampled, "key long, node long, root long, sketch long")
-    pairs = map_arrow(rows.repartition("key").sortWithinPartitions("key"), _met, "a long, b long").distinct()
+def _near_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose fingerprints the similarity can have."""
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}")), side)
     return map_arrow(pairs.select("a", "b", "fp_a", "fp_b"), _near(farthest_bits(similarity)), "a long, b long")
@@ -352,22 +418,93 @@ def _alike(similarity: float):
     return alike
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` (a, b), each there once, whose ``texts`` (node, text) have the similarity, by their sets of shingles."""
-    pairs = gathered(pairs, dealt=True)
-    some = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sets = checkpointed(maybe_marked(texts, some, "node", _sets(shingle), "node long, s binary"))  # no text is shuffled here
+def _compared(similarity: float):
+    """Edges (a, b) between rows (area, i, j, mine, node, root, s), which stand together by the first three: a forest of the links between different roots."""
+
+    def decide(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        i, j, mine, node, root = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(1, 6))
+        sets = [np.frombuffer(x.as_buffer(), dtype=_U64) for b in held for x in b.column(6)]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        kinds, shingles = np.unique(np.concatenate(sets), return_inverse=True)
+        there = np.zeros(len(kinds), dtype=bool)
+        top = np.unique(root, return_inverse=True)[1]
+        # Two chunks are compared with each other, one with itself.
+        rows, second = np.arange(len(node)), np.flatnonzero(mine == j[0])
+        a, b = [], []
+        for k in (rows if i[0] == j[0] else np.flatnonzero(mine == i[0])).tolist():
+            others = rows[k + 1 :] if i[0] == j[0] else second
+            others = others[top[others] != top[k]]
+            n = sizes[others]
+            others = others[(np.minimum(n, sizes[k]) >= similarity * np.maximum(n, sizes[k]) - 1e-9) & (n > 0)]
+            if not len(others):
+                continue
+            n = sizes[others]
+            heads = np.cumsum(n) - n
+            there[shingles[starts[k] : starts[k] + sizes[k]]] = True
+            both = np.add.reduceat(there[shingles[np.arange(n.sum()) + np.repeat(starts[others] - heads, n)]], heads, dtype=np.int64)
+            there[shingles[starts[k] : starts[k] + sizes[k]]] = False
+            linked = others[both >= similarity * (sizes[k] + n - both) - 1e-9]
+            tops, at = np.unique(top[linked], return_index=True)
+            a += [int(node[k])] * len(at)
+            b += node[linked[at]].tolist()
+            top[np.isin(top, tops)] = top[k]
+        return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], ["a", "b"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            ids = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1).astype(np.int64)
+            heads = np.flatnonzero(np.concatenate([[len(ids) > 0], (ids[1:] != ids[:-1]).any(axis=1)])[: len(ids)]).tolist()
+            for first, end in zip(heads, [*heads[1:], len(ids)], strict=False):
+                if held and tuple(ids[first]) != of:
+                    yield decide(held)
+                    held = []
+                held.append(batch.slice(first, end - first))
+                of = tuple(ids[first])
+        if held:
+            yield decide(held)
+
+    return stream
+
+
+def _sets_of(some: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): the different shingles of those of ``texts`` (node, text) that ``some`` (node) has, and of few others."""
+    return checkpointed(maybe_marked(texts, some, "node", _sets(shingle), "node long, s binary"))  # no text is shuffled here
+
+
+def _alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
     return gathered(map_arrow(pairs.select("a", "b", "s_a", "s_b"), _alike(similarity), "a long, b long"), dealt=True)
 
 
-def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """``nodes`` (node, fp, root) with ``name``: the smallest root that each one's own reaches by ``edges`` of nodes."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (a, b), each there once, whose ``texts`` (node, text) have the similarity, by their sets of shingles."""
+    pairs = gathered(pairs, dealt=True)
+    return _alike_pairs(pairs, _sets_of(_ends(pairs), texts, shingle), similarity)
+
+
+def _area_links(areas: DataFrame, sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Pairs (a, b) at the similarity that connect, beside the roots, what all such pairs of nodes (node, root, area) of one area do."""
+    rows = areas.join(sets.select("node", F.octet_length("s").alias("size")), "node")
+    parts = F.ceil(F.greatest(F.count("*") / chunk, F.sum("size") / AREA_BYTES, F.lit(1))).cast("int")
+    rows = rows.join(rows.groupBy("area").agg(parts.alias("parts")), "area").select("area", "node", "root", "parts")
+    rows = _in_chunks(rows.join(sets, "node"), "area", ["mine", "node", "root", "s"])
+    rows = rows.repartition("area", "i", "j").sortWithinPartitions("area", "i", "j")
+    return gathered(map_arrow(rows, _compared(similarity), "a long, b long"), dealt=True)
+
+
+def _joined(nodes: DataFrame, edges: DataFrame, name: str, of: str = "root") -> DataFrame:
+    """``nodes`` (node, ``of``) with ``name``: the smallest ``of`` that each one's own reaches by ``edges`` of nodes."""
     for side in ("a", "b"):
-        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("root").alias(f"r_{side}")), side)
+        edges = edges.join(nodes.select(F.col("node").alias(side), F.col(of).alias(f"r_{side}")), side)
     tops = components(edges.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))).select(F.col("node").alias("_of"), F.col("root").alias("_top"))
-    return nodes.join(tops, F.col("root") == F.col("_of"), "left").withColumn(name, F.coalesce("_top", "root")).drop("_of", "_top")
+    return nodes.join(tops, F.col(of) == F.col("_of"), "left").withColumn(name, F.coalesce("_top", of)).drop("_of", "_top")
 
 
 def grouped(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
@@ -380,7 +517,12 @@ def grouped(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similari
     for k in range(ROUNDS):
         early = verified(links(named, similarity, chunk, k * EARLY).distinct(), texts, shingle, similarity)
         named = gathered(_joined(named, early, "root"))
-    late = verified(candidates(named, similarity), texts, shingle, similarity)
+    areas, pairs = _outside(named, similarity, chunk)
+    pairs = gathered(_near_pairs(pairs, named, similarity), dealt=True)
+    several = areas.groupBy("area").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("area")
+    areas = gathered(areas.join(several, "area"), dealt=True)
+    sets = _sets_of(_ends(pairs).union(areas.select("node")), texts, shingle)
+    late = _alike_pairs(pairs, sets, similarity).union(_area_links(areas, sets, similarity, chunk))
     return _joined(named, late, "top").drop("root")
 
 

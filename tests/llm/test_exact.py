@@ -282,6 +282,44 @@ def test_representatives_at_the_threshold(spark):
     assert set(range(300)) - kept == set(gone)
 
 
+@pytest.mark.parametrize(("n", "chunk"), [(600, 4096), (150, 16)])
+def test_texts_just_below_the_similarity_make_no_square_of_pairs(spark, monkeypatch, n, chunk):
+    """Edited copies of one text, mostly below 0.8 from each other: their links are found, and no table has a row for each pair."""
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    base, rows_ = [rng.choice(vocabulary) for _ in range(250)], []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(250), rng.choice([4, 5, 6, 7, 8])):
+            words[at] = f"new{rng.random()}"
+        rows_.append((k, " ".join(words)))
+    sets, root = [shingles(t) for _, t in rows_], list(range(n))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = [(a, b) for b in range(n) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {k for k in range(n) if root[k] == k}
+    assert 1 < len(want) < n and len(pairs) < n * n / 8
+    made, gathered = [], neardup.gathered
+
+    def counted(df, dealt=False):
+        out = gathered(df, dealt)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "gathered", counted)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)  # what the early blocks join up is left to the areas, too
+    assert {r.doc_id for r in neardup.representatives(documents(spark, rows_), chunk=chunk).collect()} == want
+    print(n, chunk, "rows of the largest table", max(made))
+    assert max(made) <= 30 * n
+
+
 def test_dense_groups_lose_no_link():
     """Clusters along a chain of fingerprints, against all pairs."""
     rng = np.random.default_rng(12)
