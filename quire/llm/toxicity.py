@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, WORD, checkpointed, maybe_marked, mix64, pieces, remainder, row_counts, runs, span_hashes
+from quire.llm.common import LOWER, MAP_BITS, WORD, checkpointed, mix64, pieces, remainder, row_counts, runs, span_hashes
 from quire.runtime import map_arrow, remove, written
 
 #: A word's pairs are dealt out in so many parts, so that a common word isn't one task's.
@@ -116,6 +116,54 @@ def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _summed(held)
 
 
+def _places(learn: DataFrame, marks: DataFrame, size: int) -> np.ndarray:
+    """A code for each of ``size`` places that ids hash to, as three maps of bits.
+
+    0: no marked id; 1: a marked id beside others, or marked twice; 2 and more: one id, and its kind.
+    """
+    kinds = marks.select("doc_id", (F.col("toxic") * 2 + F.col("curve")).alias("kind"))
+    rows = learn.where("doc_id IS NOT NULL").select("doc_id", F.lit(None).cast("int").alias("kind")).union(kinds)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("b")
+    places = rows.groupBy(place).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("kind").alias("n"), F.max("kind").alias("kind")).where("n > 0")
+    code = F.when((F.col("n") == 1) & (F.col("lo") == F.col("hi")), F.col("kind") + 2).otherwise(F.lit(1))
+    one = F.expr("shiftleft(1L, cast(b & 31 as int))")
+    planes = [F.bit_or(F.when(F.col("code").bitwiseAND(F.lit(1 << k)) != 0, F.col("one")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(3)]
+    got = places.select(F.shiftright("b", 5).alias("w"), one.alias("one"), code.cast("int").alias("code")).groupBy("w").agg(*planes).toArrow()
+    bits = np.zeros((3, (size + 31) >> 5), dtype=np.uint32)
+    for k in range(3):
+        bits[k, got.column("w").to_numpy()] = got.column(f"p{k}").to_numpy().astype(np.uint32)
+    return bits
+
+
+def _coded(shared, shuffled: bool):
+    """Of rows (doc_id, text, place): (doc_id, text) of those whose id shares its place, or (kind, text) of the others that are marked."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(2).to_numpy()
+            code = np.zeros(len(place), dtype=np.int64)
+            for k in range(3):
+                code |= (shared.value[k, place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(np.int64) << k
+            kept = pa.array(code == 1 if shuffled else code > 1)
+            first, name = (batch.column(0), "doc_id") if shuffled else (pa.array(code - 2), "kind")
+            yield pa.RecordBatch.from_arrays([first.filter(kept), batch.column(1).filter(kept)], [name, "text"])
+
+    return coded if shuffled else (lambda batches: _word_pairs(coded(batches)))  # in one Python worker
+
+
+def _counted(learn: DataFrame, marks: DataFrame, size: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """Word pairs of the texts of ``learn`` (doc_id, text) that ``marks`` (doc_id, toxic, curve) has, and those texts that are shuffled for it.
+
+    Kinds come from maps of a fixed size. Where several ids fall on one place, a join by the id decides.
+    """
+    shared = learn.sparkSession.sparkContext.broadcast(_places(learn, marks, size))
+    rows = learn.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("place"))
+    shuffled = map_arrow(rows, _coded(shared, True), rows.select("doc_id", "text").schema)
+    texts = shuffled.join(marks, "doc_id").select((F.col("toxic") * 2 + F.col("curve")).alias("kind"), "text")
+    schema = "word long, of long, n long"
+    return map_arrow(rows, _coded(shared, False), schema).union(map_arrow(texts, _word_pairs, schema)), shuffled
+
+
 @dataclass
 class Excess:
     """By how much the log ratios of words exceed the limit, by hash, sorted; words that don't aren't there."""
@@ -267,9 +315,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = CURVE_SAMPLE, ord
     marks = marks.groupBy("h").agg(F.when(votes > 0, 1).when(votes < 0, 0).otherwise(F.min_by("toxic", "doc_id")).alias("toxic"), F.min("doc_id").alias("doc_id"))
     curve = F.pmod(F.xxhash64("doc_id"), F.lit(CURVE_FOLDS)) == CURVE_FOLD
     marks = checkpointed(marks.select("doc_id", F.when(F.col("toxic") != 0, 1).otherwise(0).alias("toxic"), curve.cast("int").alias("curve")).distinct())
-    texts = maybe_marked(learn, marks, "doc_id").join(marks, "doc_id")
-    counted = map_arrow(texts.select((F.col("toxic") * 2 + F.col("curve")).alias("kind"), "text"), _word_pairs, "word long, of long, n long")
-    some_words, all_words = _learned(counted, order)
+    some_words, all_words = _learned(_counted(learn, marks)[0], order)
     without = documents.sparkSession.sparkContext.broadcast(some_words)
     some = marks.where("curve = 1").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample).select("doc_id", "toxic")
     texts = learn.join(F.broadcast(some), "doc_id")  # ``sample`` rows at most

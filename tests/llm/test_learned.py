@@ -253,6 +253,18 @@ def test_copies_have_their_majority_label(spark):
     assert auc(truth, [got[r[0]] for r in rows]) > 0.9
 
 
+@pytest.mark.parametrize("size", [64, 1 << 20])
+def test_toxicity_counts_shuffle_only_texts_whose_ids_share_a_place(spark, size):
+    """Whatever the size of the map, the counts are those of a join by the id, with repeated and null ids and ids that are marked twice."""
+    docs = spark.createDataFrame([(k, f"a{k} b{k % 7} c{k % 3}") for k in range(300)] + [(5, "other text"), (None, "without an id")], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2, k % 5 // 4) for k in range(0, 300, 3)] + [(6, 1, 1), (9999, 1, 0)], "doc_id long, toxic int, curve int")
+    counted, shuffled = toxicity._counted(docs, marks, size)
+    sums = lambda df: sorted(map(tuple, df.groupBy("word", "of").agg({"n": "sum"}).collect()))
+    texts = docs.join(marks, "doc_id").selectExpr("toxic * 2 + curve kind", "text")
+    assert sums(counted) == sums(texts.mapInArrow(toxicity._word_pairs, "word long, of long, n long"))
+    assert shuffled.count() > 200 if size == 64 else shuffled.count() < 10  # before, all that are marked
+
+
 @pytest.mark.parametrize("operator", [quality.op1_quality, toxicity.op5_toxicity])
 def test_nothing_to_learn_from(spark, operator):
     docs, labels = marked(spark, 9)
