@@ -49,6 +49,9 @@ SKETCH = 23
 #: Pairs for each row of a key above which its rows go to an area and aren't made pairs.
 DENSE = 2
 AHEAD = 24
+#: Differing bits up to which nodes under a dense key are put into one area. Unrelated texts have 512, give or take 16; what is
+#: alike, but not enough for a link, would else come up under key after key.
+AREA_BITS = 384
 #: Bytes of sets in a chunk of an area, about.
 AREA_BYTES = 8 << 20
 #: Rows that a task gathers before it looks for links; whole groups only.
@@ -368,11 +371,11 @@ def _outside(nodes: DataFrame, similarity: float, chunk: int) -> tuple[DataFrame
         seen = nodes.select("node", "fp").join(areas.select("node", F.col("area").alias("root")), "node") if first else nodes
         met = gathered(candidates(seen, first, end), dealt=True)
         dense = met.where("key >= 0").select("key", F.col("a").alias("node"), F.col("b").alias("root"))
-        forest = _grouped_links(dense, nodes, _links(farthest_bits(similarity), forest=True), chunk)
+        forest = _grouped_links(dense, nodes, _links(max(AREA_BITS, farthest_bits(similarity)), forest=True), chunk)
         areas = gathered(_joined(areas, forest, "area", "area"))
         pairs = met.where("key < 0").select("a", "b")
         found = found.union(pairs) if first else pairs
-    pairs = found.distinct()
+    pairs = _near_pairs(found.distinct(), nodes, similarity)  # few are left
     for side in ("a", "b"):
         pairs = pairs.join(areas.select(F.col("node").alias(side), F.col("area").alias(f"area_{side}")), side)
     return areas, pairs.where("area_a != area_b").select("a", "b")
@@ -425,9 +428,10 @@ def _compared(similarity: float):
         i, j, mine, node, root = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(1, 6))
         sets = [np.frombuffer(x.as_buffer(), dtype=_U64) for b in held for x in b.column(6)]
         sizes = np.array([len(x) for x in sets])
-        starts = np.cumsum(sizes) - sizes
-        kinds, shingles = np.unique(np.concatenate(sets), return_inverse=True)
-        there = np.zeros(len(kinds), dtype=bool)
+        kinds, shingles, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        there, again = np.zeros(len(kinds), dtype=bool), times[shingles] > 1
+        shingles, shared = shingles[again], np.bincount(np.repeat(np.arange(len(node)), sizes)[again], minlength=len(node))
+        starts = np.cumsum(shared) - shared
         top = np.unique(root, return_inverse=True)[1]
         # Two chunks are compared with each other, one with itself.
         rows, second = np.arange(len(node)), np.flatnonzero(mine == j[0])
@@ -435,16 +439,16 @@ def _compared(similarity: float):
         for k in (rows if i[0] == j[0] else np.flatnonzero(mine == i[0])).tolist():
             others = rows[k + 1 :] if i[0] == j[0] else second
             others = others[top[others] != top[k]]
-            n = sizes[others]
-            others = others[(np.minimum(n, sizes[k]) >= similarity * np.maximum(n, sizes[k]) - 1e-9) & (n > 0)]
+            # As many as a link needs have to be in other sets too.
+            others = others[(np.minimum(shared[others], shared[k]) * (1 + similarity) >= similarity * (sizes[others] + sizes[k]) - 1e-6) & (shared[others] > 0)]
             if not len(others):
                 continue
-            n = sizes[others]
+            n = shared[others]
             heads = np.cumsum(n) - n
-            there[shingles[starts[k] : starts[k] + sizes[k]]] = True
+            there[shingles[starts[k] : starts[k] + shared[k]]] = True
             both = np.add.reduceat(there[shingles[np.arange(n.sum()) + np.repeat(starts[others] - heads, n)]], heads, dtype=np.int64)
-            there[shingles[starts[k] : starts[k] + sizes[k]]] = False
-            linked = others[both >= similarity * (sizes[k] + n - both) - 1e-9]
+            there[shingles[starts[k] : starts[k] + shared[k]]] = False
+            linked = others[both >= similarity * (sizes[k] + sizes[others] - both) - 1e-9]
             tops, at = np.unique(top[linked], return_index=True)
             a += [int(node[k])] * len(at)
             b += node[linked[at]].tolist()
@@ -518,7 +522,7 @@ def grouped(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similari
         early = verified(links(named, similarity, chunk, k * EARLY).distinct(), texts, shingle, similarity)
         named = gathered(_joined(named, early, "root"))
     areas, pairs = _outside(named, similarity, chunk)
-    pairs = gathered(_near_pairs(pairs, named, similarity), dealt=True)
+    pairs = gathered(pairs, dealt=True)
     several = areas.groupBy("area").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("area")
     areas = gathered(areas.join(several, "area"), dealt=True)
     sets = _sets_of(_ends(pairs).union(areas.select("node")), texts, shingle)
